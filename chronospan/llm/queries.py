@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, mixing, url_rules
+from . import bpe_prefix, mixing, url_rules, vp_simhash
 from .text import table
 
 #: The rules of the URL query.
@@ -32,6 +32,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op7_vp_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vp_simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", vp_simhash.hex_fingerprint("fingerprint").alias("fingerprint"), "component_id")
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.match_rules(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
@@ -45,6 +50,7 @@ def op10_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mix": op4_source_mix,
+    "op7_vp_simhash": op7_vp_simhash,
     "op8_url_rules": op8_url_rules,
     "op10_bpe_prefix": op10_bpe_prefix,
 }
