@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, mixing, url_rules, vp_simhash
+from . import bpe_prefix, kneser_ney, mixing, url_rules, vp_simhash
 from .text import table
 
 #: The rules of the URL query.
@@ -27,6 +27,11 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return kneser_ney.classify(docs, table(spark, sf_dir, "labels"), keep_text=False, details=True)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -49,6 +54,7 @@ def op10_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kneser_ney": op1_kneser_ney,
     "op4_source_mix": op4_source_mix,
     "op7_vp_simhash": op7_vp_simhash,
     "op8_url_rules": op8_url_rules,
