@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, kneser_ney, mixing, url_rules, vp_simhash
+from . import bpe_prefix, kneser_ney, line_crf, mixing, url_rules, vp_simhash
 from .text import table
 
 #: The rules of the URL query.
@@ -32,6 +32,12 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(docs, table(spark, sf_dir, "labels"), keep_text=False, details=True)
 
 
+def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crf = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    return line_crf.label(docs, crf, drop_text=True)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -55,6 +61,7 @@ def op10_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
+    "op2_line_crf": op2_line_crf,
     "op4_source_mix": op4_source_mix,
     "op7_vp_simhash": op7_vp_simhash,
     "op8_url_rules": op8_url_rules,
