@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, kneser_ney, line_crf, mixing, url_rules, vp_simhash
+from . import bpe_prefix, kneser_ney, line_crf, mixing, scaled_sketch, url_rules, vp_simhash
 from .text import table
 
 #: The rules of the URL query.
@@ -52,6 +52,12 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.match_rules(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = scaled_sketch.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scaled_sketch.compare_edited(pairs)
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op10_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
     encoded = bpe_prefix.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mix": op4_source_mix,
     "op7_vp_simhash": op7_vp_simhash,
     "op8_url_rules": op8_url_rules,
+    "op9_scaled_sketch": op9_scaled_sketch,
     "op10_bpe_prefix": op10_bpe_prefix,
 }
 
