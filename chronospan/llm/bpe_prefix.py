@@ -22,9 +22,8 @@ from pyspark.sql import types as T
 
 from .text import blocks, fresh
 
-#: Entries that a worker keeps per memory of pieces; it starts anew beyond that.
-MEMORY = 500_000
-_LONG_PIECE = 256
+#: Entries of each of the two generations of a worker's memories.
+MEMORY = 300_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -44,10 +43,11 @@ class Merges:
         for b in ranks:
             if len(b) > 2:
                 ends.setdefault(b[-3:], set()).add(len(b))
-        #: By their last three bytes, the lengths of the tokens that have as many.
-        self.lengths = {e: sorted(x, reverse=True) for e, x in ends.items()}
+        #: By their last three bytes, the lengths that tokens with this end have, the longest first.
+        self.lengths = {e: (*sorted(x, reverse=True), *([2] if e[1:] in ranks else []), 1) for e, x in ends.items()}
+        self._shift = len(self.token).bit_length()
         self._parts: dict[int, tuple[int, int] | None] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
 
     def parts(self, t: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes t; None for a byte."""
@@ -64,10 +64,10 @@ class Merges:
 
     def apart(self, a: int, b: int) -> bool:
         """Whether encoding the bytes of a and b together gives a, b again."""
-        key = (a, b)
+        key = (a << self._shift) | b
         found = self._apart.get(key)
         if found is None:
-            if len(self._apart) > 4 * MEMORY:
+            if len(self._apart) > 2 * MEMORY:
                 self._apart.clear()
             found = self._apart[key] = self._stay_apart(a, b)
         return found
@@ -91,16 +91,17 @@ class Merges:
 
     def extend(self, data: bytes, last: list[int], upto: int | None = None) -> None:
         """Adds to ``last`` (of which last[i] is the last token of data[:i]) the entries up to len(data)."""
-        get, lengths, apart, memo = self.ranks.get, self.lengths.get, self.apart, self._apart
+        get, lengths, apart, memo, shift = self.ranks.get, self.lengths.get, self.apart, self._apart.get, self._shift
         for i in range(len(last), (len(data) if upto is None else upto) + 1):
-            for n in (*lengths(data[i - 3 : i], ()), 2, 1) if i > 2 else range(i, 0, -1):
+            for n in lengths(data[i - 3 : i], (2, 1)) if i > 2 else (2, 1)[2 - i :]:
                 if n > i or (t := get(data[i - n : i])) is None:
                     continue
                 if n == i:
                     last.append(t)
                     break
-                key = (last[i - n], t)
-                if memo[key] if key in memo else apart(*key):
+                p = last[i - n]
+                ok = memo((p << shift) | t)
+                if ok or (ok is None and apart(p, t)):
                     last.append(t)
                     break
             else:
@@ -158,6 +159,25 @@ class PrefixTable:
         return self.merges.back(self.last, len(self.data))
 
 
+class Memory:
+    """Remembers at least the last MEMORY entries that were used, in two generations."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, asked: set[str]) -> set[str]:
+        """What is not known of asked; the rest is in ``new`` afterwards."""
+        rest = asked.difference(self.new)
+        moved = {k: self.old[k] for k in rest.intersection(self.old)}
+        self.new.update(moved)
+        return rest.difference(moved)
+
+    def age(self) -> None:
+        if len(self.new) > MEMORY:
+            self.old, self.new = self.new, {}
+
+
 class Encoder:
     """Whole texts: pieces are the matches of a pattern. Texts repeat their pieces, so a worker keeps a bounded memory of them.
 
@@ -168,8 +188,7 @@ class Encoder:
     def __init__(self, data: bytes, pattern: str):
         self.merges = Merges(parse_ranks(data))
         self.find = regex.compile(pattern).findall
-        self._pieces: dict[str, bytes] = {}
-        self._after_space: dict[str, bytes] = {}
+        self._pieces, self._after_space = Memory(), Memory()
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Encodes pieces in the order of their bytes: each takes over the table of the prefix it shares with the one before."""
@@ -182,12 +201,6 @@ class Encoder:
             new[piece] = array("I", m.back(last, len(b))).tobytes()
         return new
 
-    def _keep(self, memory: dict[str, bytes], new: dict[str, bytes]) -> None:
-        if len(memory) + len(new) > MEMORY:
-            memory.clear()
-        if len(new) <= MEMORY:
-            memory.update((k, v) for k, v in new.items() if len(k) < _LONG_PIECE)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         firsts, rests = [], []
@@ -199,17 +212,15 @@ class Encoder:
                 first, *rest = text.split(" ")
                 firsts.append(first)
                 rests.append(rest)
-        known = self._after_space
-        chunks = {c: self.find(" " + c) for c in set(chain.from_iterable(rests)).difference(known)}
+        pieces, after_space = self._pieces, self._after_space
+        chunks = {c: self.find(" " + c) for c in after_space.missing(set(chain.from_iterable(rests)))}
         heads = [self.find(x) for x in firsts]
-        pieces = self._pieces
-        new = self._learn({p for x in chain(chunks.values(), heads) for p in x}.difference(pieces))
-        ids = {p: pieces[p] if p in pieces else new[p] for x in chain(chunks.values(), heads) for p in x}
-        after = {c: b"".join(map(ids.__getitem__, x)) for c, x in chunks.items()}
-        of = after | {c: known[c] for c in set(chain.from_iterable(rests)).difference(after)}
-        out = [b"".join(map(ids.__getitem__, head)) + b"".join(map(of.__getitem__, rest)) for head, rest in zip(heads, rests, strict=True)]
-        self._keep(pieces, new)
-        self._keep(known, after)
+        pieces.new.update(self._learn(pieces.missing({p for x in chain(chunks.values(), heads) for p in x})))
+        ids, after = pieces.new.__getitem__, after_space.new
+        after.update((c, b"".join(map(ids, x))) for c, x in chunks.items())
+        out = [b"".join(map(ids, head)) + b"".join(map(after.__getitem__, rest)) for head, rest in zip(heads, rests, strict=True)]
+        pieces.age()
+        after_space.age()
         return out
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, kneser_ney, line_crf, mixing, scaled_sketch, url_rules, vp_simhash
+from . import bpe_prefix, kneser_ney, line_crf, mixing, scaled_sketch, url_rules, vp_simhash, zdict_toxicity
 from .text import table
 
 #: The rules of the URL query.
@@ -38,6 +38,14 @@ def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.label(docs, crf, drop_text=True)
 
 
+def op3_zdict_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = zdict_toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = zdict_toxicity.scored(docs, model, drop_text=True)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -68,6 +76,7 @@ def op10_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_line_crf": op2_line_crf,
+    "op3_zdict_toxicity": op3_zdict_toxicity,
     "op4_source_mix": op4_source_mix,
     "op7_vp_simhash": op7_vp_simhash,
     "op8_url_rules": op8_url_rules,
