@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, kneser_ney, line_crf, mixing, scaled_sketch, url_rules, vp_simhash, zdict_toxicity
+from . import bpe_prefix, kneser_ney, license_scan, line_crf, mixing, scaled_sketch, url_rules, vp_simhash, zdict_toxicity
 from .text import table
 
 #: The rules of the URL query.
@@ -51,6 +51,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_vp_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vp_simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", vp_simhash.hex_fingerprint("fingerprint").alias("fingerprint"), "component_id")
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_crf": op2_line_crf,
     "op3_zdict_toxicity": op3_zdict_toxicity,
     "op4_source_mix": op4_source_mix,
+    "op5_license_scan": op5_license_scan,
     "op7_vp_simhash": op7_vp_simhash,
     "op8_url_rules": op8_url_rules,
     "op9_scaled_sketch": op9_scaled_sketch,
