@@ -25,7 +25,8 @@ def windows(frames: DataFrame, start_us: int, stop_us: int, context_us: int, str
     lo = F.greatest(F.lit(0), F.floor((t - max(half, score_us)) / stride_us))
     hi = F.least(F.lit(count - 1), F.ceil((t + half) / stride_us))
     last = frames.groupBy(*by).agg(F.max(ts).alias("_last"))
-    out = frames.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi").withColumn("window_us", F.explode(F.sequence("_lo", "_hi")) * stride_us + first).drop("_lo", "_hi")
+    out = frames.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi").withColumn("_w", F.explode(F.sequence("_lo", "_hi")))
+    out = out.withColumn("window_us", F.col("_w") * stride_us + first).drop("_lo", "_hi", "_w")
     h, x = F.col("window_us"), F.col(ts)
     in_fit = (x >= h - half) & (x < h + half)
     if gap_us > 0:

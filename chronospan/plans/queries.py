@@ -179,9 +179,9 @@ def _stokes(spark, sf_dir):
     return Pipeline(("pol00", "pol11", "pol01_mag", "pol01_phase")).add(stokes_iquv_step()).apply(products(spark, sf_dir))
 
 
-@query(f"WITH {_PRODUCTS}, s AS (SELECT l_orderkey, l_linenumber, {_IQUV} FROM products) SELECT l_orderkey, l_linenumber, round(i, 5) + 0.0 AS stokes_i, round(q, 5) + 0.0 AS stokes_q, round(u, 5) + 0.0 AS stokes_u, round(v, 5) + 0.0 AS stokes_v FROM s")
+@query(f"WITH {_PRODUCTS}, s AS (SELECT l_orderkey, l_linenumber, {_IQUV} FROM products) SELECT l_orderkey, l_linenumber, round(i, 6) + 0.0 AS stokes_i, round(q, 6) + 0.0 AS stokes_q, round(u, 6) + 0.0 AS stokes_u, round(v, 6) + 0.0 AS stokes_v FROM s")
 def stokes_iquv(spark, sf_dir):
-    return _stokes(spark, sf_dir).select("l_orderkey", "l_linenumber", *[r(f"stokes_{c}", 5).alias(f"stokes_{c}") for c in "iquv"])
+    return _stokes(spark, sf_dir).select("l_orderkey", "l_linenumber", *[r(f"stokes_{c}").alias(f"stokes_{c}") for c in "iquv"])
 
 
 @query(f"WITH {_PRODUCTS}, s AS (SELECT l_orderkey, l_linenumber, {_IQUV} FROM products) SELECT l_orderkey, l_linenumber, round(10 * log10(greatest(i, 1e-12)), 6) AS i_db, round(q / i, 5) + 0.0 AS q_i, round(u / i, 5) + 0.0 AS u_i, round(v / i, 5) + 0.0 AS v_i FROM s")
