@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, kneser_ney, license_scan, line_crf, mixing, scaled_sketch, url_rules, vp_simhash, zdict_toxicity
+from . import attention_lm, bpe_prefix, kneser_ney, license_scan, line_crf, mixing, scaled_sketch, url_rules, vp_simhash, zdict_toxicity
 from .text import table
 
 #: The rules of the URL query.
@@ -55,6 +55,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    found = attention_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), training, *tokenizer())
+    return found.withColumn("held_out", ~F.col("is_training") & F.col("doc_id").isNotNull()).drop("is_training")
+
+
 def op7_vp_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vp_simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", vp_simhash.hex_fingerprint("fingerprint").alias("fingerprint"), "component_id")
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_zdict_toxicity": op3_zdict_toxicity,
     "op4_source_mix": op4_source_mix,
     "op5_license_scan": op5_license_scan,
+    "op6_attention_lm": op6_attention_lm,
     "op7_vp_simhash": op7_vp_simhash,
     "op8_url_rules": op8_url_rules,
     "op9_scaled_sketch": op9_scaled_sketch,
