@@ -28,12 +28,18 @@ TEMPLATES = {
 }
 
 
-def _minima(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """BANDS minima (columns) of permuted hashes over h[s : s + size] for each start."""
-    out = np.empty((len(starts), BANDS), np.uint64)
-    windows = np.minimum(starts[:, None] + np.arange(size), len(h) - 1)
-    for k in range(BANDS):
-        out[:, k] = mix(h ^ mix(np.full(1, k + 1, np.uint64)))[windows].min(axis=1)
+_SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+
+
+def _agree(h: np.ndarray, wanted: list[tuple[np.ndarray, int, np.ndarray]]) -> list[np.ndarray]:
+    """For each (starts, size, signature): whether the window h[s : s + size] of each start agrees with it in some band.
+    Hashes are permuted once per band for all of them."""
+    places = [np.minimum(starts[:, None] + np.arange(size), len(h) - 1) for starts, size, _ in wanted]
+    out = [np.zeros(len(starts), bool) for starts, _, _ in wanted]
+    for k, seed in enumerate(_SEEDS):
+        permuted = mix(h ^ seed)
+        for hit, at, (_, _, signature) in zip(out, places, wanted, strict=True):
+            hit |= permuted[at].min(axis=1) == signature[k]
     return out
 
 
@@ -58,21 +64,25 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, shingle: int
         signatures = {}
         for name, (n, size, grams) in parts.items():
             h = np.array([chain(*(np.array([word_hash(x)]) for x in g))[0] for g in sorted(grams)], np.uint64)
-            signatures[name] = (h, _minima(h, np.zeros(1, np.int64), len(h))[0])
+            signatures[name] = np.array([mix(h ^ seed).min() for seed in _SEEDS], np.uint64)
         for batch in batches:
             for b in blocks(batch, "text"):
                 w = split_words(b.column(1), lower=True)
                 hashes = w.hashes()
                 x, vocab, found = hashes[w.ids], w.vocab.cast(pa.binary()), {}
-                for name, (n, size, grams) in parts.items():
-                    runs_n, per = len(x) - n + 1, size - n + 1
-                    if runs_n <= 0:
-                        continue
-                    runs = chain(*(x[i : i + runs_n] for i in range(n)))
-                    # Windows of twice the template's runs, starting every such length: each place a template can stand lies within one.
-                    starts = np.arange(0, runs_n, per)
-                    hit = (_minima(runs, starts, 2 * per - 1) == signatures[name][1]).any(axis=1)
-                    for s in starts[hit]:
+                hits = {}
+                for n in {v[0] for v in parts.values()}:
+                    runs_n = len(x) - n + 1
+                    if runs_n > 0:
+                        same = [k for k, v in parts.items() if v[0] == n]
+                        runs = chain(*(x[i : i + runs_n] for i in range(n)))
+                        # Windows of twice the template's runs, starting every such length: each place a template can stand lies within one.
+                        wanted = [(np.arange(0, runs_n, parts[k][1] - n + 1), 2 * (parts[k][1] - n + 1) - 1, signatures[k]) for k in same]
+                        hits |= {k: w_[0][hit] for k, w_, hit in zip(same, wanted, _agree(runs, wanted), strict=True)}
+                for name, found_at in hits.items():
+                    n, size, grams = parts[name]
+                    per = size - n + 1
+                    for s in found_at:
                         for d in np.unique(w.doc[s : s + 2 * per - 1 + n]):
                             span = np.arange(s, min(s + 2 * per - 2 + n, len(x)))
                             span = span[w.doc[span] == d]
