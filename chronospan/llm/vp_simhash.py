@@ -283,7 +283,11 @@ def keep_one(docs: DataFrame, r: int = 2, shingle: int = 3) -> DataFrame:
     documents themselves are met by their key once.
     """
     low = near_duplicates(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), r, shingle)
-    kept = low.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return keep_keys(docs, low.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct())
+
+
+def keep_keys(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in kept (distinct, column ``_kept``), one per doc_id, and all with a null doc_id."""
     n = fresh(docs, "_n")
     found = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
     # doc_id is a key of documents, so this window has one row per group but for repeated rows.
