@@ -25,7 +25,7 @@ from .text import Words, blocks, fresh, split_words
 SYMBOLS = "#*$%&|<>"
 #: Features of a line, in order.
 FEATURES = ["bias", "log_words", "symbol_share", "upper_share", "exclamation_per_word", "bar_per_word", "digit_share", "ends_sentence", "same_as_previous_word", "in_repeated_window", "repeats_a_line", "under_four_words", "word_length"]
-#: Lines of a document that training looks at; the sample's documents are longer only rarely.
+#: Lines of a training sequence at most; longer documents are cut into several sequences.
 TRAINING_LINES = 400
 
 
@@ -229,7 +229,7 @@ def fit(features: np.ndarray, doc: np.ndarray, label: np.ndarray, rounds: int =
 def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Crf:
     """On about ``most`` labelled documents at most (half of them of either quality, where there are as many).
 
-    Lines without words are left out. Without labels of both kinds, every line counts as content.
+    Lines without words are left out; all others count, in sequences of at most TRAINING_LINES lines. Without labels of both kinds, every line counts as content.
     """
     kinds = []
     for y in (0, 1):
@@ -242,9 +242,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Crf:
                 x = lines_of(b.column(0))
                 y = b.column(1).to_numpy(zero_copy_only=False)
                 for d in range(b.num_rows):
-                    own = np.flatnonzero((x.doc == d) & (x.words > 0))[:TRAINING_LINES]
-                    if len(own):
-                        yield pa.RecordBatch.from_arrays([pa.array([x.features[own].astype("<f4").tobytes()]), pa.array([int(y[d])], pa.int64())], ["features", "y"])
+                    own = np.flatnonzero((x.doc == d) & (x.words > 0))
+                    for k in range(0, len(own), TRAINING_LINES):
+                        part = x.features[own[k : k + TRAINING_LINES]]
+                        yield pa.RecordBatch.from_arrays([pa.array([part.astype("<f4").tobytes()]), pa.array([int(y[d])], pa.int64())], ["features", "y"])
 
     got = kinds[0].unionByName(kinds[1]).mapInArrow(run, "features binary, y long").toArrow()
     rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
