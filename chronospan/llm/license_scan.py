@@ -10,17 +10,23 @@ exactly: the share of the template's shingles, as word tuples, that the text aro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 
-from .text import blocks, chain, mix, split_words
+from .text import Words, blocks, chain, mix, split_words
 
 SHINGLE, BANDS, MIN_CONTAINMENT = 5, 32, 0.8
 
-#: The license lines that are looked for, by name.
-TEMPLATES = {
+#: Characters that don't count at either end of a word, in templates and texts; words of nothing else are left out.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u2018\u2019\u201c\u201d"
+
+#: Short license lines that are looked for, by name.
+LINES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -28,46 +34,58 @@ TEMPLATES = {
 }
 
 
+#: All templates: the lines above and the texts and headers of licenses in the folder beside this file, as NAME_text or NAME_header.
+TEMPLATES = LINES | {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def _agree(h: np.ndarray, wanted: list[tuple[np.ndarray, int, np.ndarray]]) -> list[np.ndarray]:
-    """For each (starts, size, signature): whether the window h[s : s + size] of each start agrees with it in some band.
-    Hashes are permuted once per band for all of them."""
-    places = [np.minimum(starts[:, None] + np.arange(size), len(h) - 1) for starts, size, _ in wanted]
-    out = [np.zeros(len(starts), bool) for starts, _, _ in wanted]
+def _words(text: str) -> list[bytes]:
+    return [x.encode() for w in text.encode().lower().decode().split() if (x := w.strip(PUNCTUATION))]
+
+
+def _agree(h: np.ndarray, wanted: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each (starts, signature): whether the window from each start to the start after the next agrees with it in some
+    band. Hashes are permuted once per band for all of them, and each minimum serves both windows that it lies in."""
+    out = [np.zeros(len(starts), bool) for starts, _ in wanted]
     for k, seed in enumerate(_SEEDS):
         permuted = mix(h ^ seed)
-        for hit, at, (_, _, signature) in zip(out, places, wanted, strict=True):
-            hit |= permuted[at].min(axis=1) == signature[k]
+        for hit, (starts, signature) in zip(out, wanted, strict=True):
+            same = np.minimum.reduceat(permuted, starts)
+            same[:-1] = np.minimum(same[:-1], same[1:])
+            hit |= same == signature[k]
     return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, shingle: int = SHINGLE, least: float = MIN_CONTAINMENT) -> DataFrame:
     """doc_id, license, containment, word (place of the first word of the first match): one row per row of docs and template found.
 
-    Words are lower-cased (A-Z). Templates (a bounded parameter, part of the task's closure) with fewer words than
+    Words are lower-cased (A-Z) and lose PUNCTUATION at their ends; places count all words. Templates (a bounded parameter, part of the task's closure) with fewer words than
     a shingle are one shingle of all their words. Null and empty texts match nothing; repeated rows and null ids give
     rows of their own. No row leaves its partition.
     """
     parts = {}
     for name, text in (templates or TEMPLATES).items():
-        w = text.encode().lower().split()
+        w = _words(text)
         n = min(shingle, len(w))
         if n:
             parts[name] = (n, len(w), frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    signatures = {}
+    for name, (n, _, grams) in parts.items():
+        h = np.array([[xxhash.xxh3_64_intdigest(x, 0) for x in g] for g in sorted(grams)], np.uint64)
+        h = chain(*(h[:, i] for i in range(n)))
+        signatures[name] = np.array([mix(h ^ seed).min() for seed in _SEEDS], np.uint64)
 
-        word_hash = lambda w: np.uint64(xxhash.xxh3_64_intdigest(w, 0))
-        signatures = {}
-        for name, (n, size, grams) in parts.items():
-            h = np.array([chain(*(np.array([word_hash(x)]) for x in g))[0] for g in sorted(grams)], np.uint64)
-            signatures[name] = np.array([mix(h ^ seed).min() for seed in _SEEDS], np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch, "text"):
                 w = split_words(b.column(1), lower=True)
+                bare = pc.utf8_trim(w.vocab, characters=PUNCTUATION)
+                real = (pc.binary_length(bare).to_numpy(zero_copy_only=False) > 0)[w.ids]
+                # The place of each word that counts, in its own text.
+                place = (np.arange(len(w.ids)) - np.searchsorted(w.doc, w.doc))[real]
+                w = Words(bare, w.ids[real], w.doc[real], w.n_docs)
                 hashes = w.hashes()
                 x, vocab, found = hashes[w.ids], w.vocab.cast(pa.binary()), {}
                 hits = {}
@@ -77,21 +95,23 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, shingle: int
                         same = [k for k, v in parts.items() if v[0] == n]
                         runs = chain(*(x[i : i + runs_n] for i in range(n)))
                         # Windows of twice the template's runs, starting every such length: each place a template can stand lies within one.
-                        wanted = [(np.arange(0, runs_n, parts[k][1] - n + 1), 2 * (parts[k][1] - n + 1) - 1, signatures[k]) for k in same]
+                        wanted = [(np.arange(0, runs_n, parts[k][1] - n + 1), signatures[k]) for k in same]
                         hits |= {k: w_[0][hit] for k, w_, hit in zip(same, wanted, _agree(runs, wanted), strict=True)}
                 for name, found_at in hits.items():
                     n, size, grams = parts[name]
                     per = size - n + 1
                     for s in found_at:
-                        for d in np.unique(w.doc[s : s + 2 * per - 1 + n]):
-                            span = np.arange(s, min(s + 2 * per - 2 + n, len(x)))
+                        # A quarter more on either side, for copies with words put in.
+                        lo, hi = max(0, s - per // 4), min(s + 2 * per - 2 + n + per // 4, len(x))
+                        for d in np.unique(w.doc[lo:hi]):
+                            span = np.arange(lo, hi)
                             span = span[w.doc[span] == d]
                             words = vocab.take(pa.array(w.ids[span])).to_pylist()
                             seen = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
                             share = len(grams.intersection(seen)) / len(grams)
                             key = (int(d), name)
                             if share >= least and share > found.get(key, (0.0, 0))[0]:
-                                first = int(span[0]) + next(i for i, g in enumerate(seen) if g in grams) - int(np.searchsorted(w.doc, d))
+                                first = int(place[span[0] + next(i for i, g in enumerate(seen) if g in grams)])
                                 found[key] = (share, first)
                 ids = b.column(0)
                 rows = sorted(found.items())
