@@ -301,17 +301,22 @@ def pca_singular_values(spark, sf_dir):
 
 @query()
 def rolling_scores(spark, sf_dir):
-    """Frames of complete cells (4 channels, 4 hours each) against the PCA of their quiet context, window by window."""
+    """Frames of cells (4 channels, 4 hours each) against the PCA of their quiet context, for all windows with a whole context on
+    the grid. An absent channel is NaN: its frame is never quiet and has no score."""
     coarse = samples(spark, sf_dir).groupBy(F.floor(F.col("t_idx") / 4).alias("t"), (F.col("f_idx") % 4).alias("f")).agg(F.sum("value").alias("power"))
-    vectors = coarse.groupBy(F.col("t").alias("frame_idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", maths.safe_db(F.col("power")).alias("db")))), lambda s: s["db"]).alias("features")).where("size(features) = 4")
+    by_f = F.map_from_entries(F.collect_list(F.struct("f", maths.safe_db(F.col("power")).alias("db"))))
+    vectors = coarse.groupBy(F.col("t").alias("frame_idx")).agg(by_f.alias("by_f"))
+    vectors = vectors.select("frame_idx", F.array(*[F.coalesce(F.try_element_at("by_f", F.lit(f).cast("long")), F.lit(float("nan"))) for f in range(4)]).alias("features"))
     vectors = vectors.withColumn("start_us", ((F.lit(T0) + F.col("frame_idx") * 4 * DT) * 1e6).cast("long"))
-    us = lambda t: int(t.timestamp()) * 1_000_000
-    w = rolling.windows(vectors, us(START), us(STOP), 96 * _H, 12 * _H, 12 * _H)
+    first, last = int(T0) * 1_000_000 + 48 * _H, int(T0 + NT * DT) * 1_000_000 - 48 * _H
+    w = rolling.windows(vectors, first, last, 96 * _H, 12 * _H, 12 * _H)
     level = w.withColumn("score", F.when(F.col("in_fit"), F.array_max("features")))
     quiet = background.select_quiet(level, ["window_us"], 0.7).select("window_us", "frame_idx", F.lit(True).alias("quiet"))
     ready = w.join(quiet, ["window_us", "frame_idx"], "left").withColumn("quiet", F.coalesce("quiet", F.lit(False)))
     res = background.pca_residuals(ready, ["window_us"], 2).join(w.where("in_score").select("window_us", "frame_idx"), ["window_us", "frame_idx"])
-    return metrics.score(res.withColumn("residual", F.greatest("residual", F.lit(0.0))), ["window_us", "frame_idx"], "residual", 4, "l2").withColumn("score", F.round("score", 6))
+    # greatest() alone would turn a missing residual into 0.
+    res = res.withColumn("residual", F.when(F.col("residual").isNotNull(), F.greatest("residual", F.lit(0.0))))
+    return metrics.score(res, ["window_us", "frame_idx"], "residual", 4, "l2").withColumn("score", F.round("score", 6))
 
 
 # ---- regions of interest ------------------------------------------------------------------------------------
