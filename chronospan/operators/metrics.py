@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +13,46 @@ PERCENTILES = {"p99": 99.0, "p995": 99.5, "p999": 99.9}
 METHODS = [*PERCENTILES, "percentile", "topk_sum", "excess_mass", "l1", "l2", "lp"]
 
 
+def check(method: str, q: float = 99.9, topk: int = 2048, thr: float = 3.0, p: float = 4.0, min_finite_frac: float = 1.0, normalize_missing: bool = False) -> None:
+    """Raises ValueError for options that no score has."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}")
+    if not 0 < min_finite_frac <= 1:
+        raise ValueError("min_finite_frac lies outside (0, 1]")
+    if method == "lp" and p < 1:
+        raise ValueError("p must be 1 or more")
+    if method == "percentile" and not 0 <= q <= 100:
+        raise ValueError("q lies outside [0, 100]")
+
+
+def array_scores(rows: np.ndarray, method: str, q: float = 99.9, topk: int = 2048, thr: float = 3.0, p: float = 4.0, min_finite_frac: float = 1.0, normalize_missing: bool = False) -> np.ndarray:
+    """score() of the rows of a matrix, for use inside a task: the same rules, NaN where score() gives NULL."""
+    check(method, q, topk, thr, p, min_finite_frac, normalize_missing)
+    n, size = len(rows), rows.shape[1]
+    real = np.isfinite(rows)
+    count = real.sum(axis=1)
+    up = size / np.maximum(count, 1) if normalize_missing else np.ones(n)
+    only, x = np.where(real, rows, 0.0).astype(np.float64), np.where(np.isnan(rows), 0.0, rows).astype(np.float64)
+    if method in PERCENTILES or method == "percentile":
+        out = np.full(n, np.nan)
+        some = np.flatnonzero(count)
+        with np.errstate(invalid="ignore"):
+            out[some] = np.nanpercentile(rows[some].astype(np.float64), PERCENTILES.get(method, q), axis=1) if len(some) else out[some]
+    elif method == "topk_sum":
+        k = max(1, min(topk, size))
+        top = np.partition(np.where(real, rows, -np.inf).astype(np.float64), size - k, axis=1)[:, size - k :]
+        out = np.where(count >= k, np.where(np.isfinite(top), top, 0.0).sum(axis=1), np.nan) * up
+    elif method == "excess_mass":
+        out = np.where(np.isnan(rows), 0.0, np.maximum(x - thr, 0.0)).sum(axis=1) * up
+    elif method == "l1":
+        out = np.abs(x).sum(axis=1) * up
+    elif method == "l2":
+        out = np.sqrt((only**2).sum(axis=1) * up)
+    else:
+        out = ((np.abs(only) ** p).sum(axis=1) * up) ** (1 / p)
+    return np.where((count > 0) & (count / size >= min_finite_frac), out, np.nan)
+
+
 def score(values: DataFrame, keys: list[str], value: str, size: int, method: str, q: float = 99.9, topk: int = 2048, thr: float = 3.0, p: float = 4.0, min_finite_frac: float = 1.0, normalize_missing: bool = False) -> DataFrame:
     """keys, n_finite and score of each group of ``size`` values, of which absent rows are missing.
 
@@ -19,12 +60,7 @@ def score(values: DataFrame, keys: list[str], value: str, size: int, method: str
     interpolate linearly and let infinities take part; topk_sum is NULL with fewer finite values than k; excess_mass
     and l1 let infinities through, l2 and lp leave them out. normalize_missing scales all but percentiles up to size.
     """
-    if method not in METHODS:
-        raise ValueError(f"unknown method {method!r}")
-    if not 0 < min_finite_frac <= 1:
-        raise ValueError("min_finite_frac lies outside (0, 1]")
-    if method == "lp" and p < 1:
-        raise ValueError("p must be 1 or more")
+    check(method, q=q, topk=topk, thr=thr, p=p, min_finite_frac=min_finite_frac, normalize_missing=normalize_missing)
     x, finite = nan_to_null(F.col(value).cast("double")), finite_or_null(F.col(value))
     n = F.count(finite)
     up = F.lit(float(size)) / n if normalize_missing else F.lit(1.0)

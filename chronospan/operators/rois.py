@@ -2,13 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.grid import UTC_SPARK
 from ..functions.maths import finite_or_null
 from .metrics import robust_threshold
 
+#: Hand-picked events, as start and stop in UTC.
+CURATED = [
+    ("20240721_014500", "20240721_020500"), ("20240724_072500", "20240724_080500"), ("20240724_170500", "20240724_174500"),
+    ("20240725_152500", "20240725_155500"), ("20240727_180500", "20240727_184500"), ("20240727_191500", "20240727_194500"),
+    ("20240728_013500", "20240728_022500"), ("20240728_180500", "20240728_182500"), ("20240729_171500", "20240729_180500"),
+    ("20240730_132500", "20240730_134500"), ("20240730_143000", "20240730_155500"), ("20240730_192500", "20240730_194500"),
+    ("20240730_211500", "20240730_215500"), ("20240801_013500", "20240801_020500"), ("20240804_142500", "20240804_152500"),
+    ("20240804_220000", "20240804_224000"), ("20240805_085000", "20240805_091000"), ("20240805_150500", "20240805_160000"),
+    ("20240806_221000", "20240806_224000"), ("20240807_133000", "20240807_141000"), ("20240808_190500", "20240808_194500"),
+    ("20240812_011000", "20240812_014000"), ("20240812_182500", "20240812_184500"), ("20240820_003500", "20240820_005500"),
+    ("20240821_194000", "20240821_201000"), ("20240821_224000", "20240821_230500"), ("20240822_161000", "20240822_163000"),
+    ("20240830_120000", "20240830_123000"), ("20240902_192500", "20240902_193500"), ("20240914_151500", "20240914_155500"),
+]
+#: Their places in the list of regions that they were picked from.
+CURATED_INDICES = [2, 10, 12, 16, 23, 24, 25, 27, 28, 29, 30, 31, 36, 41, 44, 45, 47, 53, 54, 55, 61, 71, 72, 95, 101, 102, 104, 135, 150, 188]
+
+
+def curated(spark: SparkSession, events: list[tuple[str, str]] | None = None) -> DataFrame:
+    """event, roi_index (NULL for own events), start_us, stop_us of hand-picked intervals."""
+    indices = CURATED_INDICES if events is None else [None] * len(events)
+    rows = [(k, i, *e) for k, (i, e) in enumerate(zip(indices, CURATED if events is None else events, strict=True))]
+    us = lambda c: F.unix_micros(F.to_timestamp(c, UTC_SPARK))
+    return spark.createDataFrame(rows, "event long, roi_index long, start string, stop string").select("event", "roi_index", us("start").alias("start_us"), us("stop").alias("stop_us"))
+
+
+def within(scores: DataFrame, intervals: DataFrame, keys: list[str], time: str = "time_us", pad_us: int = 0, by: list[str] | None = None) -> DataFrame:
+    """scores with the keys of each interval (start_us, stop_us, keys, by) that holds their time, both ends included.
+
+    Times and intervals meet in an equi-join on hours: an interval has a row for each hour that it touches.
+    """
+    by, hour = by or [], 3_600_000_000
+    spans = intervals.select(*by, *keys, (F.col("start_us") - pad_us).alias("_lo"), (F.col("stop_us") + pad_us).alias("_hi"))
+    spans = spans.withColumn("_hour", F.explode(F.sequence(F.floor(F.col("_lo") / hour), F.floor(F.col("_hi") / hour))))
+    return scores.withColumn("_hour", F.floor(F.col(time) / hour)).join(spans, [*by, "_hour"]).where(F.col(time).between(F.col("_lo"), F.col("_hi"))).drop("_hour", "_lo", "_hi")
+
+
+def metric_label(method: str = "unknown", topk: int | None = None, q: float | None = None, p: float | None = None, **_) -> str:
+    """A short name of a metric and its option: l4, lp2.5, topk2048, p99, p99.5; else the method's name."""
+    known = {"lp": ("l", "lp", p), "percentile": ("p", "p", q)}
+    if method == "topk_sum":
+        return "topk" if topk is None else f"topk{topk}"
+    if method not in known:
+        return str(method)
+    whole, broken, x = known[method]
+    if x is None:
+        return method
+    return f"{whole}{int(x)}" if float(x).is_integer() else f"{broken}{float(x):g}"
+
+
+def file_tag(text: str) -> str:
+    """text with every character but letters, digits, - and _ turned into -, without - at the ends; ``unknown`` if nothing is left."""
+    return "".join(c if c.isalnum() or c in "-_" else "-" for c in text).strip("-") or "unknown"
+
 
 def find_rois(scores: DataFrame, by: list[str], nsig: float = 3.0, pad_us: int = 300_000_000, merge_gap_us: int = 1_200_000_000, time: str = "time_us", value: str = "score") -> DataFrame:
     """by, start_us, stop_us, peak_score, sum_score, n_frames. Runs go by adjacent rows in time order within ``by`` (say a station);

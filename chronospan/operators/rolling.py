@@ -1,10 +1,18 @@
-"""Centred rolling contexts: which frames each scoring window fits and scores."""
+"""Centred rolling contexts: which frames each scoring window fits and scores, and their scores against a rolling PCA."""
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.selection import FreqMask, effective_mask
+from . import background, metrics
+
 HOUR = 3_600_000_000
 
 
@@ -34,3 +42,164 @@ def windows(frames: DataFrame, start_us: int, stop_us: int, context_us: int, str
     out = out.withColumn("in_fit", in_fit).withColumn("in_score", (x >= h) & (x < h + score_us)).where("in_fit or in_score")
     out = out.join(last, by) if by else out.crossJoin(F.broadcast(last))
     return out.where(F.col("_last") >= h + half).drop("_last")
+
+
+@dataclass(frozen=True)
+class RollingConfig:
+    """A rolling PCA run. Times in microseconds; ``mask`` keeps entries of the feature arrays.
+
+    ring_capacity limits a window's context to what a first-in-first-out buffer of so many frames holds when the window
+    fires (the frame that fires it takes one place); see ring_capacity(). block: windows that a task works on together.
+    """
+
+    context_us: int = 24 * HOUR
+    stride_us: int = HOUR
+    score_us: int = HOUR
+    gap_us: int = 0
+    k: int = 16
+    quiet_fraction: float = 0.3
+    n_quiet: int | None = None
+    quiet_method: str = "p99"
+    quiet_options: dict = field(default_factory=dict)
+    method: str = "topk_sum"
+    score_options: dict = field(default_factory=lambda: {"min_finite_frac": 0.7, "normalize_missing": True})
+    positive_only: bool = True
+    ring_capacity: int | None = None
+    runner_mask: FreqMask | None = None
+    selector_mask: FreqMask | None = None
+    background_mask: FreqMask | None = None
+    block: int = 6
+
+    def __post_init__(self):
+        if not 0 < self.score_us <= self.stride_us:
+            raise ValueError("score hours must be above 0 and at most the stride")
+        if self.context_us <= 0 or self.gap_us < 0 or self.k < 0 or self.block < 1:
+            raise ValueError("the context must be positive, gap and k not negative, a block at least one window")
+        if not 0 < self.quiet_fraction <= 1:
+            raise ValueError("the quiet fraction lies outside (0, 1]")
+        if self.ring_capacity is not None and self.ring_capacity < 1:
+            raise ValueError("a ring holds at least one frame")
+        for method, options in ((self.quiet_method, self.quiet_options), (self.method, self.score_options)):
+            metrics.check(method, **options)
+        effective_mask(self.runner_mask, self.selector_mask, self.background_mask)
+
+    @property
+    def mask(self) -> FreqMask | None:
+        return effective_mask(self.runner_mask, self.selector_mask, self.background_mask)
+
+
+def ring_capacity(context_hours: float, step_s: float) -> int:
+    """Frames that the buffer of a run holds: the context times the frames of an hour, both rounded up."""
+    if step_s <= 0:
+        raise ValueError("the step must be positive")
+    return math.ceil(context_hours * math.ceil(3600 / step_s))
+
+
+def starts(rows: DataFrame, by: list[str], ts: str, stride_us: int = HOUR) -> DataFrame:
+    """by, window_us: scoring starts of each group, from the first whole hour at or after its first time, before its last."""
+    if stride_us <= 0:
+        raise ValueError("the stride must be positive")
+    ends = rows.groupBy(*by).agg((F.ceil(F.min(ts) / HOUR) * HOUR).alias("_lo"), F.max(ts).alias("_hi"))
+    return ends.where("_lo < _hi").select(*by, F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1, F.lit(stride_us))).alias("window_us"))
+
+
+def n_steps(start_us: int, stop_us: int, stride_us: int) -> int:
+    """Planned windows from the first whole hour at or after start, before stop; skipped ones count."""
+    return max(0, -(-(stop_us - -(-start_us // HOUR) * HOUR) // stride_us))
+
+
+#: What became of a window.
+SCORED, NOT_FIRED, EMPTY_CONTEXT, ALL_IN_GAP, NO_QUIET, NOTHING_TO_SCORE = "scored", "not_fired", "empty_context", "all_in_gap", "no_quiet", "nothing_to_score"
+
+
+def _window(t: np.ndarray, ids: np.ndarray, x: np.ndarray, quiet: np.ndarray, h: int, last: int, c: RollingConfig) -> tuple:
+    """(status, n_context, n_quiet, scored frames, their scores) of the window at h; frames are in time order."""
+    none = np.empty(0, np.int64), np.empty(0)
+    half = c.context_us // 2
+    if last < h + half:
+        return NOT_FIRED, 0, 0, *none
+    held = np.flatnonzero((t >= h - half) & (t < h + half))
+    if c.ring_capacity is not None:
+        before = int(np.searchsorted(t, h + half))
+        held = held[held >= before - (c.ring_capacity - 1)]
+    if not len(held):
+        return EMPTY_CONTEXT, 0, 0, *none
+    fit = held
+    if c.gap_us > 0:
+        fit = held[~((t[held] >= h - c.gap_us // 2) & (t[held] < h + c.score_us + c.gap_us // 2))]
+        if not len(fit):
+            return ALL_IN_GAP, len(held), 0, *none
+    real = fit[np.isfinite(quiet[fit])]
+    n = len(real)
+    count = max(1, int(np.floor(n * c.quiet_fraction))) if c.n_quiet is None else max(1, min(c.n_quiet, n))
+    chosen = real[np.lexsort((ids[real], quiet[real]))][:count]
+    chosen = chosen[np.isfinite(x[chosen]).all(axis=1)]
+    if not len(chosen):
+        return NO_QUIET, len(held), 0, *none
+    scored = held[(t[held] >= h) & (t[held] < h + c.score_us)]
+    if not len(scored):
+        return NOTHING_TO_SCORE, len(held), len(chosen), *none
+    mean, basis, _ = background.pca_basis(x[np.sort(chosen)], c.k)
+    res = background.residuals(x[scored].astype(np.float64), mean, basis)
+    if c.positive_only:
+        res = np.maximum(res, 0.0)
+    return SCORED, len(held), len(chosen), ids[scored], metrics.array_scores(res, c.method, **c.score_options)
+
+
+def run(frames: DataFrame, start_us: int, stop_us: int, config: RollingConfig, by: list[str], ts: str = "start_us", features: str = "features") -> DataFrame:
+    """by, window_us, status, n_context, n_quiet, frame_idx and score (arrays, in time order), rank_idx: one row per planned window of each group.
+
+    frames: by, frame_idx, ts, features (array of values, NaN or NULL where missing). Windows of a group are worked on in
+    blocks: a frame goes once to each block that needs it, (context + block) / block times in all, and no row per pixel or
+    per window and frame is made. A task holds the frames of one block's windows, as 32-bit numbers. rank_idx: places
+    in the arrays by falling score, missing ones first. Windows without a row of frames within reach are empty_context.
+    """
+    first = -(-start_us // HOUR) * HOUR
+    count = n_steps(start_us, stop_us, config.stride_us)
+    half, c = config.context_us // 2, config
+    span = c.block * c.stride_us
+    n_blocks = -(-count // c.block)
+    types = dict(frames.dtypes)
+    values = c.mask.array(features) if c.mask is not None else F.col(features)
+    ready = frames.select(*by, F.col("frame_idx").cast("long").alias("frame_idx"), F.col(ts).cast("long").alias("_t"), values.cast("array<float>").alias("_x"))
+    last = ready.groupBy(*by).agg(F.max("_t").alias("_last"))
+    t = F.col("_t") - first
+    lo = F.greatest(F.lit(0), F.ceil((t - (span - c.stride_us) - max(half, c.score_us)) / span))
+    hi = F.least(F.lit(n_blocks - 1), F.floor((t + half) / span))
+    placed = ready.withColumn("_lo", lo.cast("long")).withColumn("_hi", hi.cast("long")).where("_lo <= _hi").withColumn("_block", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+    placed = placed.join(F.broadcast(last), by) if by else placed.crossJoin(F.broadcast(last))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_t", "frame_idx"], kind="stable")
+        at, ids = pdf["_t"].to_numpy(np.int64), pdf["frame_idx"].to_numpy(np.int64)
+        x = np.stack([np.asarray(v, np.float32) for v in pdf["_x"]])
+        quiet = metrics.array_scores(x, c.quiet_method, **c.quiet_options)
+        b, latest = int(pdf["_block"].iloc[0]), int(pdf["_last"].iloc[0])
+        out = []
+        for w in range(b * c.block, min((b + 1) * c.block, count)):
+            h = first + w * c.stride_us
+            status, n_context, n_quiet, scored, values = _window(at, ids, x, quiet, h, latest, c)
+            rank = np.lexsort((scored, -np.where(np.isfinite(values), values, np.inf), ~np.isnan(values)))
+            out.append((h, status, n_context, n_quiet, scored.tolist(), values.tolist(), rank.tolist()))
+        done = pd.DataFrame(out, columns=["window_us", "status", "n_context", "n_quiet", "frame_idx", "score", "rank_idx"])
+        for k in by:
+            done[k] = pdf[k].iloc[0]
+        return done[[*by, "window_us", "status", "n_context", "n_quiet", "frame_idx", "score", "rank_idx"]]
+
+    kinds = "".join(f"`{k}` {types[k]}, " for k in by)
+    found = placed.groupBy(*by, "_block").applyInPandas(work, kinds + "window_us long, status string, n_context long, n_quiet long, frame_idx array<long>, score array<double>, rank_idx array<long>")
+    planned = last.withColumn("window_us", F.explode(F.sequence(F.lit(first), F.lit(first + (count - 1) * c.stride_us), F.lit(c.stride_us)))) if count else last.where("false").withColumn("window_us", F.lit(0).cast("long"))
+    out = planned.join(found, [*by, "window_us"], "left")
+    absent = F.when(F.col("_last") < F.col("window_us") + half, NOT_FIRED).otherwise(EMPTY_CONTEXT)
+    return out.select(*by, "window_us", F.coalesce("status", absent).alias("status"), F.coalesce("n_context", F.lit(0)).cast("long").alias("n_context"), F.coalesce("n_quiet", F.lit(0)).cast("long").alias("n_quiet"), "frame_idx", "score", "rank_idx")
+
+
+def frame_scores(windows_: DataFrame, by: list[str]) -> DataFrame:
+    """by, window_us, frame_idx, score of the scored windows of run(); a score that can't be given is NULL."""
+    rows = windows_.where(F.col("status") == SCORED).select(*by, "window_us", F.explode(F.arrays_zip("frame_idx", "score")).alias("p"))
+    return rows.select(*by, "window_us", F.col("p.frame_idx").alias("frame_idx"), F.when(~F.isnan("p.score"), F.col("p.score")).alias("score"))
+
+
+def status_counts(windows_: DataFrame, by: list[str]) -> DataFrame:
+    """by, status, n: how many windows were scored, and why the others were skipped."""
+    return windows_.groupBy(*by, "status").agg(F.count("*").alias("n"))

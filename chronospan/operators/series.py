@@ -1,18 +1,75 @@
-"""Comparison of time series: interpolation, normalisation, lagged correlation."""
+"""Comparison of time series: loading, light curves, interpolation, normalisation, lagged correlation."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.maths import finite_or_null, nan_to_null
 
-def minmax(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """value scaled to [0, 1] within each group; 0.5 where all are about equal; NULL stays."""
-    w = W.partitionBy(*by)
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
+#: Columns that a flux table must have.
+FLUX_COLUMNS = ("time", "xrsa_flux", "xrsb_flux")
+
+
+def days_of(start: datetime, stop: datetime) -> list[str]:
+    """The days (yyyymmdd) from that of start to that of stop, the latter included even where stop is its midnight."""
+    if not start < stop:
+        raise ValueError("start must lie before stop")
+    first = start.replace(hour=0, minute=0, second=0, microsecond=0)
+    return [(first + timedelta(days=k)).strftime("%Y%m%d") for k in range((stop - first).days + 1)]
+
+
+def daily_files(files: DataFrame, start: datetime, stop: datetime, path: str = "path") -> DataFrame:
+    """files (paths ``.../YYYY/name_dYYYYMMDD_vVERSION.ext``) of the days of the range; a day may have several versions."""
+    day = F.regexp_extract(path, r"/(\d{4})/[^/]*_d(\1\d{4})_v[^/]*$", 2)
+    return files.where(day.isin(days_of(start, stop))).orderBy(path)
+
+
+def load_series(tables: list[DataFrame], start: Column, stop: Column, columns: tuple[str, ...] = FLUX_COLUMNS) -> DataFrame:
+    """``columns`` (the first is the time) of all tables together, of [start, stop), in time order. No table, or one that lacks a column, raises."""
+    if not tables:
+        raise FileNotFoundError("no table for the range")
+    for t in tables:
+        missing = [c for c in columns if c not in t.columns]
+        if missing:
+            raise KeyError(f"a table lacks {missing}")
+    out = tables[0].select(*columns)
+    for t in tables[1:]:
+        out = out.unionByName(t.select(*columns))
+    time = F.col(columns[0])
+    return out.where((time >= start) & (time < stop)).orderBy(*columns)
+
+
+def clip_to(series: DataFrame, other: DataFrame, time: str, by: list[str] | None = None) -> DataFrame:
+    """The rows of series between the first and the last time of other (both included), per group ``by``."""
+    by = by or []
+    ends = other.groupBy(*by).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
+    joined = series.join(ends, by) if by else series.crossJoin(F.broadcast(ends))
+    return joined.where(F.col(time).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+
+
+def light_curve(cells: DataFrame, by: list[str], value: str, how: str = "mean", out: str = "flux") -> DataFrame:
+    """by, out: mean, median or sum over the values of each group (say over frequencies) that are no NaN. Of none, mean and median are missing and the sum is 0."""
+    x = nan_to_null(F.col(value).cast("double"))
+    found = {"mean": F.avg(x), "median": F.median(x), "sum": F.coalesce(F.sum(x), F.lit(0.0))}
+    if how not in found:
+        raise ValueError(f"unknown light curve {how!r}")
+    return cells.groupBy(*by).agg(found[how].alias(out))
+
+
+def minmax(df: DataFrame, value: str, by: list[str], out: str, guard: bool = True) -> DataFrame:
+    """value scaled to [0, 1] within each group; NULL and NaN stay missing (NULL) and don't count.
+
+    With the guard, 0.5 where all values are about equal; without it (curves of several stations), missing where they are equal.
+    """
+    w, x = W.partitionBy(*by), nan_to_null(F.col(value).cast("double"))
+    lo, hi = F.min(x).over(w), F.max(x).over(w)
+    scaled = F.try_divide(x - lo, F.when(hi != lo, hi - lo))
     flat = F.abs(hi - lo) <= 1e-8 + 1e-5 * F.abs(lo)
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), F.when(flat, 0.5).otherwise((F.col(value) - lo) / (hi - lo))))
+    return df.withColumn(out, F.when(x.isNotNull(), F.when(flat, 0.5).otherwise(scaled)) if guard else scaled)
 
 
 def interpolate(knots: DataFrame, points: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
@@ -28,8 +85,8 @@ def interpolate(knots: DataFrame, points: DataFrame, by: list[str], x: str = "x"
 
 
 def cross_correlation(pairs: DataFrame, by: list[str], order: str, a: str, b: str, max_lag: int) -> DataFrame:
-    """by, lag, corr of z-scored series for lags up to max_lag either way; positive: a follows b. Pairs with a missing value drop out first."""
-    ready = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    """by, lag, corr of z-scored series for lags up to max_lag either way; positive: a follows b. Pairs of which one value is not finite drop out first, and the rest is numbered anew."""
+    ready = pairs.withColumn(a, finite_or_null(F.col(a))).withColumn(b, finite_or_null(F.col(b))).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     w = W.partitionBy(*by)
     z = lambda c: (F.col(c) - F.avg(c).over(w)) / F.stddev_pop(c).over(w)
     z_scored = ready.select(*by, (F.row_number().over(w.orderBy(order)) - 1).alias("i"), z(a).alias("a"), z(b).alias("b"), F.count("*").over(w).alias("n")).where("n >= 3")
@@ -43,3 +100,28 @@ def best_lag(correlations: DataFrame, by: list[str]) -> DataFrame:
     best = correlations.groupBy(*by).agg(F.max(F.struct("corr", (-F.col("lag")).alias("m"))).alias("b"))
     lag = -F.col("b.m")
     return best.select(*by, lag.alias("lag"), F.col("b.corr").alias("corr"), F.when(lag < 0, "leads").when(lag > 0, "lags").otherwise("together").alias("relation"))
+
+
+def median_cadence(times: DataFrame, by: list[str], time: str) -> DataFrame:
+    """by, cadence: the median step between the distinct times of each group."""
+    steps = times.select(*by, time).distinct().withColumn("_step", F.col(time) - F.lag(time).over(W.partitionBy(*by).orderBy(time)))
+    return steps.groupBy(*by).agg(F.median("_step").alias("cadence"))
+
+
+def cell_edges(times: DataFrame, by: list[str], time: str) -> DataFrame:
+    """by, time, lo, hi: borders halfway to the neighbours, at either end half the median cadence away."""
+    w = W.partitionBy(*by).orderBy(time)
+    rows = times.select(*by, time).distinct().withColumn("_p", F.lag(time).over(w)).withColumn("_n", F.lead(time).over(w))
+    rows = rows.join(median_cadence(times, by, time), by)
+    half = F.col("cadence") / 2
+    return rows.select(*by, time, F.coalesce((F.col(time) + F.col("_p")) / 2, F.col(time) - half).alias("lo"), F.coalesce((F.col(time) + F.col("_n")) / 2, F.col(time) + half).alias("hi"))
+
+
+def color_limits(values: DataFrame, value: str, by: list[str] | None = None, low: float = 1.0, high: float = 99.0) -> DataFrame:
+    """by, lo, hi (percentiles of the finite values, (0, 1) where they are no range) and symmetric (the larger of both by amount, 1 where that is 0 or there is none)."""
+    by = by or []
+    q = values.groupBy(*by).agg(F.percentile(finite_or_null(F.col(value)), F.array(F.lit(low / 100), F.lit(high / 100))).alias("q"))
+    lo, hi = F.col("q")[0], F.col("q")[1]
+    most = F.greatest(F.abs(lo), F.abs(hi))
+    real = lo < hi
+    return q.select(*by, F.when(real, lo).otherwise(0.0).alias("lo"), F.when(real, hi).otherwise(1.0).alias("hi"), F.when(most > 0, most).otherwise(1.0).alias("symmetric"))

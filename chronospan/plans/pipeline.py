@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import maths
+from ..functions.selection import channel_names
 
 SPACES = ("linear", "db")
 
@@ -64,6 +66,17 @@ class Pipeline:
             out = out.add(s)
         return out
 
+    def with_input_desc(self, channels: tuple[str, ...], space: str | None = None) -> Pipeline:
+        """The same steps over other input, checked anew."""
+        out = replace(self, channels=tuple(channels), space=self.space if space is None else space)
+        if out.space not in SPACES:
+            raise ValueError(f"unknown space {out.space!r}")
+        out.output()
+        return out
+
+    def with_input_channels(self, *names: str) -> Pipeline:
+        return self.with_input_desc(tuple(map(str, names)))
+
     def with_metadata(self, **more) -> Pipeline:
         return replace(self, metadata=self.metadata | more)
 
@@ -85,10 +98,38 @@ class Pipeline:
     def to_json(self) -> str:
         return json.dumps(self.to_dict(), indent=2, sort_keys=True) + "\n"
 
+    def save_json(self, path: str) -> None:
+        """Writes to_json() to a file of the driver's machine, whose folder is made if need be."""
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(self.to_json(), encoding="utf-8")
+
     def summary(self) -> str:
         return " -> ".join([f"{self.space}{list(self.channels)}", *[s.name for s in self.steps], f"{self.output()[1]}{list(self.output()[0])}"])
 
 
+def reject_db(pipeline: Pipeline | None, recipe: str) -> None:
+    """Raises if the pipeline that a recipe is to start from, its own or the data's, already gives decibels. Call it once the pipeline is known."""
+    if pipeline is not None and pipeline.output()[1] == "db":
+        raise ValueError(f"{recipe} takes linear values, not decibels")
+
+
+def panel_layout(n: int) -> tuple[int, int]:
+    """Rows and columns of a grid of n panels: one row up to two panels, two columns beyond."""
+    return (1, max(1, n)) if n <= 2 else (-(-n // 2), 2)
+
+
+def panel_labels(n: int, labels: Sequence[str] | None = None, pipeline: Pipeline | None = None, channels: int | Sequence[int] | None = None) -> list[str]:
+    """Labels of n panels: the given ones (n of them, or it raises), else the pipeline's output channels, else the channels' names, else ch0, ch1, ..."""
+    if labels is not None:
+        if len(labels) != n:
+            raise ValueError(f"{len(labels)} labels for {n} panels")
+        return [str(x) for x in labels]
+    for names in (pipeline.output()[0] if pipeline is not None else (), channel_names(channels) if channels is not None else ()):
+        if names and len(names) == n or n == 1 and names:
+            return list(names[:n])
+    return [f"ch{k}" for k in range(n)]
+
+
 def db_step(floor: float = 1e-12) -> Step:
     if floor <= 0:
         raise ValueError("the floor must be positive")

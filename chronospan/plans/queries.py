@@ -1,26 +1,30 @@
 """Queries over the given tables and the DuckDB SQL that gives the same rows.
 
 ``events`` stands in for a time-frequency cube: hourly samples from 2024-01-01 (720 of them), 16 channels
-(user_id % 16), power = sum(value). ``lineitem`` stands in for four polarisation products per row.
+(user_id % 16), power = sum(value); where stations are told apart, there are three of them (event_id % 3).
+Stand-ins for gaps: NaN and infinities at fixed places (``gappy``). ``lineitem`` stands in for four polarisation products
+per row.
 """
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import maths
-from ..functions.grid import hour_starts, plan_frames, unix_seconds
-from ..operators import background, frames, metrics, rois, rolling, series
+from ..functions import maths, selection
+from ..functions.grid import plan_frames, unix_seconds
+from ..operators import background, frames, metrics, rois, rolling, search, series, terrain
 from ..sources import spectra
 from .pipeline import Pipeline, db_step, stokes_i_step, stokes_iquv_step
 
 T0, DT, NT, NF = 1_704_067_200.0, 3600.0, 720, 16
 MASK = (3, 6)
+KEPT = selection.FreqMask.without(NF, *MASK)
 WINDOW, STEP = 6, 2
-SIZE = WINDOW * (NF - (MASK[1] - MASK[0]))
+SIZE = WINDOW * KEPT.size
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -54,7 +58,23 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked(cells_: DataFrame) -> DataFrame:
-    return cells_.where(~((F.col("f_idx") >= MASK[0]) & (F.col("f_idx") < MASK[1])))
+    return KEPT.rows(cells_)
+
+
+def gappy(x: str) -> Column:
+    """x of a cell (t_idx, f_idx) with NaN, +inf and -inf at fixed places."""
+    k = (F.col("t_idx") * 7 + F.col("f_idx")) % 29
+    return F.when(k.isin(3, 11, 20), float("nan")).when(k == 5, float("inf")).when(k == 17, float("-inf")).otherwise(F.col(x))
+
+
+def station_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = samples(spark, sf_dir).withColumn("station", F.concat(F.lit("S"), F.col("event_id") % 3))
+    return rows.groupBy("station", "t_idx", "f_idx").agg(F.sum("value").alias("power"))
+
+
+def start_us(frame: Column, step: int = 2) -> Column:
+    """When a frame begins, of frames every ``step`` samples."""
+    return F.lit(int(T0) * 1_000_000) + frame * int(step * DT) * 1_000_000
 
 
 def plan():
@@ -90,6 +110,11 @@ _PRODUCTS = """products AS (
 )"""
 
 
+_STATIONS = """station_cells AS (
+  SELECT 'S' || (event_id % 3) AS station, t_idx, f_idx, sum(value) AS power FROM samples GROUP BY ALL)"""
+_GAPPY = "CASE WHEN ({t} * 7 + {f}) % 29 IN (3, 11, 20) THEN 'nan'::DOUBLE WHEN ({t} * 7 + {f}) % 29 = 5 THEN 'infinity'::DOUBLE WHEN ({t} * 7 + {f}) % 29 = 17 THEN '-infinity'::DOUBLE ELSE {x} END"
+
+
 def _metric_sql(expression: str, frac: float = 0.5, source: str = "framed") -> str:
     return f"WITH {_FRAMED} SELECT frame_idx, count(db) AS n_finite, round(CASE WHEN count(db) >= {frac} * 78 THEN {expression} END, 6) AS score FROM {source} GROUP BY frame_idx"
 
@@ -122,14 +147,20 @@ def time_range_read(spark, sf_dir):
     return spectra.time_range(cells(spark, sf_dir), T0 + 100.25 * DT, T0 + 147.5 * DT, T0, DT, NT).withColumn("power", r("power", 4))
 
 
-@query(f"WITH {_PRODUCTS} SELECT l_orderkey, l_linenumber, round(pol00, 6) AS pol00 FROM products WHERE l_orderkey < 1000")
+@query(f"WITH {_PRODUCTS} SELECT l_orderkey, l_linenumber, round(pol00, 6) AS pol00 FROM products")
 def channel_select(spark, sf_dir):
-    return products(spark, sf_dir).where("l_orderkey < 1000").select("l_orderkey", "l_linenumber", r("pol00").alias("pol00"))
+    return selection.select_channels(products(spark, sf_dir), 0, ["l_orderkey", "l_linenumber"]).withColumn("pol00", r("pol00"))
+
+
+@query(f"WITH {_PRODUCTS} SELECT l_orderkey, l_linenumber, round(pol11, 6) AS first, round(pol00, 6) AS second FROM products")
+def channel_stack(spark, sf_dir):
+    rows = selection.select_channels(products(spark, sf_dir), [1, 0], ["l_orderkey", "l_linenumber"], stacked="values")
+    return rows.select("l_orderkey", "l_linenumber", r(F.col("values")[0]).alias("first"), r(F.col("values")[1]).alias("second"))
 
 
 @query(f"WITH {_SAMPLES} SELECT t_idx, f_idx, round(f_idx * 125.0 / 2048, 6) AS mhz, round(power, 4) AS power FROM cells WHERE f_idx >= 4 AND f_idx < 9")
 def freq_slice(spark, sf_dir):
-    return cells(spark, sf_dir).where("f_idx >= 4 and f_idx < 9").select("t_idx", "f_idx", r(F.col("f_idx") * 125.0 / 2048).alias("mhz"), r("power", 4).alias("power"))
+    return selection.freq_slice(cells(spark, sf_dir), 4, 9, NF).select("t_idx", "f_idx", r(F.col("f_idx") * 125.0 / 2048).alias("mhz"), r("power", 4).alias("power"))
 
 
 @query("SELECT i AS f_idx, round(i * 125.0 / 2048, 6) AS mhz FROM range(2048) AS x(i)")
@@ -190,10 +221,13 @@ def stokes_fractional(spark, sf_dir):
     return _stokes(spark, sf_dir).select("l_orderkey", "l_linenumber", r(maths.safe_db(i)).alias("i_db"), *[r(maths.fraction_of(F.col(f"stokes_{c}"), i), 5).alias(f"{c}_i") for c in "quv"])
 
 
-@query(f"WITH {_PRODUCTS} SELECT l_orderkey, l_linenumber, round(10 * log10(greatest(pol00, 1e-12)), 6) AS p00_db, round(10 * log10(greatest(pol11, 1e-12)), 6) AS p11_db, round(10 * log10(greatest(pol01_mag, 1e-12)), 4) AS mag_db, round(pol01_phase, 6) + 0.0 AS phase FROM products WHERE pol01_mag > 1e-9")
+@query(f"WITH {_PRODUCTS} SELECT l_orderkey, l_linenumber, round(10 * log10(greatest(pol00, 1e-12)), 6) AS p00_db, round(10 * log10(greatest(pol11, 1e-12)), 6) AS p11_db, round(10 * log10(greatest(CASE WHEN pol01_mag > 1e-9 THEN pol01_mag ELSE 0 END, 1e-12)), 4) AS mag_db, round(CASE WHEN pol01_mag > 1e-9 THEN pol01_phase ELSE 0 END, 6) + 0.0 AS phase FROM products")
 def instrumental_quicklook(spark, sf_dir):
     db = lambda c, n=6: r(maths.safe_db(F.col(c)), n)
-    return products(spark, sf_dir).where("pol01_mag > 1e-9").select("l_orderkey", "l_linenumber", db("pol00").alias("p00_db"), db("pol11").alias("p11_db"), db("pol01_mag", 4).alias("mag_db"), r("pol01_phase").alias("phase"))
+    # A magnitude of about 0 is 0, and so is its phase.
+    there = F.col("pol01_mag") > 1e-9
+    rows = products(spark, sf_dir).withColumn("pol01_phase", F.when(there, F.col("pol01_phase")).otherwise(0.0)).withColumn("pol01_mag", F.when(there, F.col("pol01_mag")).otherwise(0.0))
+    return rows.select("l_orderkey", "l_linenumber", db("pol00").alias("p00_db"), db("pol11").alias("p11_db"), db("pol01_mag", 4).alias("mag_db"), r("pol01_phase").alias("phase"))
 
 
 # ---- metrics ------------------------------------------------------------------------------------------------
@@ -226,56 +260,140 @@ def finite_fraction(spark, sf_dir):
     return frame_scores(spark, sf_dir).select("frame_idx", F.round(F.col("n_finite") / SIZE, 6).alias("fraction"))
 
 
-@query(f"WITH {_FRAMED}, s AS (SELECT frame_idx, quantile_cont(db, 0.99) AS score FROM framed GROUP BY frame_idx HAVING count(db) >= 39), k AS (SELECT *, row_number() OVER (ORDER BY score, frame_idx) AS r, count(*) OVER () AS n FROM s) SELECT frame_idx, round(score, 6) AS score FROM k WHERE r <= greatest(1, floor(n * 0.3))")
+_SFRAMED = f"""{_SAMPLES}, {_STATIONS}, station_framed AS (
+  SELECT station, k AS frame_idx, t_idx, f_idx, 10 * log10(greatest(power, 1e-12)) AS db
+  FROM range(358) AS x(k) JOIN station_cells ON t_idx >= 2 * k AND t_idx < 2 * k + 6 WHERE NOT (f_idx >= 3 AND f_idx < 6)
+), wanted AS (SELECT station, k AS frame_idx FROM (SELECT DISTINCT station FROM station_cells), range(358) AS x(k)
+), station_scores AS (
+  SELECT station, frame_idx, CAST((1704067200 + 7200 * frame_idx) * 1000000 AS BIGINT) AS time_us, count(db) AS n_finite, CASE WHEN count(db) >= 0.05 * 78 THEN quantile_cont(db, 0.99) END AS score
+  FROM wanted LEFT JOIN station_framed USING (station, frame_idx) GROUP BY station, frame_idx
+)"""
+
+
+def station_framed(spark, sf_dir) -> DataFrame:
+    return frames.assign(masked(station_cells(spark, sf_dir)).withColumn("db", maths.safe_db(F.col("power"))), plan())
+
+
+def station_scores(spark, sf_dir) -> DataFrame:
+    """All frames of the plan of each station, those without samples included."""
+    scored = metrics.score(station_framed(spark, sf_dir), ["station", "frame_idx"], "db", SIZE, "p99", min_finite_frac=0.05)
+    stations = station_cells(spark, sf_dir).select("station").distinct()
+    return frames.with_plan(scored, plan(), ("n_finite",), stations).withColumn("time_us", start_us(F.col("frame_idx")))
+
+
+@query(f"WITH {_SFRAMED} SELECT station, frame_idx, n_finite, round(score, 6) AS score FROM station_scores")
+def planned_scores(spark, sf_dir):
+    return station_scores(spark, sf_dir).select("station", "frame_idx", "n_finite", F.round("score", 6).alias("score"))
+
+
+_GAP_CELLS = f"{_SAMPLES}, cells2 AS (SELECT t_idx, f_idx, {_GAPPY.format(t='t_idx', f='f_idx', x='power')} AS power FROM cells)"
+_GAP_FRAMED = f"""{_GAP_CELLS}, framed AS (
+  SELECT k AS frame_idx, CASE WHEN isnan(power) OR power = '-infinity'::DOUBLE THEN NULL WHEN power = 'infinity'::DOUBLE THEN power ELSE 10 * log10(greatest(power, 1e-12)) END AS db
+  FROM range(358) AS x(k) JOIN cells2 ON t_idx >= 2 * k AND t_idx < 2 * k + 6 WHERE NOT (f_idx >= 3 AND f_idx < 6)
+), finite AS (SELECT frame_idx, CASE WHEN isfinite(db) THEN db END AS db, db AS any_db FROM framed)"""
+
+
+def _gappy_scores(spark, sf_dir, method: str, **options) -> DataFrame:
+    ready = masked(cells(spark, sf_dir).withColumn("power", gappy("power"))).withColumn("db", maths.safe_db(F.col("power")))
+    return metrics.score(frames.assign(ready, plan()), ["frame_idx"], "db", SIZE, method, min_finite_frac=0.3, normalize_missing=True, **options).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_GAP_FRAMED} SELECT frame_idx, count(db) AS n_finite, round(CASE WHEN count(db) >= 0.3 * 78 THEN sqrt(sum(db * db) * 78 / count(db)) END, 6) AS score FROM finite GROUP BY frame_idx")
+def metric_gaps_l2(spark, sf_dir):
+    return _gappy_scores(spark, sf_dir, "l2")
+
+
+@query(f"WITH {_GAP_FRAMED}, k AS (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY db DESC NULLS LAST) AS k FROM finite) SELECT frame_idx, count(db) AS n_finite, round(CASE WHEN count(db) >= 0.3 * 78 AND count(db) >= 8 THEN sum(db) FILTER (k <= 8) * 78 / count(db) END, 6) AS score FROM k GROUP BY frame_idx")
+def metric_gaps_topk(spark, sf_dir):
+    return _gappy_scores(spark, sf_dir, "topk_sum", topk=8)
+
+
+@query(f"WITH {_GAP_FRAMED} SELECT frame_idx, count(db) AS n_finite, round(CASE WHEN count(db) >= 0.3 * 78 THEN sum(abs(any_db)) * 78 / count(db) END, 6) AS score FROM finite GROUP BY frame_idx")
+def metric_gaps_l1(spark, sf_dir):
+    return _gappy_scores(spark, sf_dir, "l1")
+
+
+@query(f"WITH {_SFRAMED}, k AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY score, frame_idx) AS r, count(*) OVER (PARTITION BY station) AS n FROM station_scores WHERE score IS NOT NULL) SELECT station, frame_idx, round(score, 6) AS score FROM k WHERE r <= greatest(1, floor(n * 0.3))")
 def quiet_select(spark, sf_dir):
-    scored = frame_scores(spark, sf_dir).withColumn("station", F.lit("A"))
-    return background.select_quiet(scored, ["station"], 0.3).select("frame_idx", F.round("score", 6).alias("score"))
+    return background.select_quiet(station_scores(spark, sf_dir), ["station"], 0.3).select("station", "frame_idx", F.round("score", 6).alias("score"))
+
 
+@query(f"WITH {_SFRAMED}, k AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY score, frame_idx) AS r FROM station_scores WHERE score IS NOT NULL) SELECT station, frame_idx, round(score, 6) AS score FROM k WHERE r <= 20")
+def quiet_fixed(spark, sf_dir):
+    return background.select_quiet(station_scores(spark, sf_dir), ["station"], 0.3, n_quiet=20).select("station", "frame_idx", F.round("score", 6).alias("score"))
 
-@query(f"WITH {_FRAMED}, s AS (SELECT frame_idx, CASE WHEN count(db) >= 39 THEN quantile_cont(db, 0.99) END AS score FROM framed GROUP BY frame_idx) SELECT frame_idx, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC NULLS FIRST, frame_idx) AS rank FROM s")
+
+@query(f"WITH {_SFRAMED} SELECT station, frame_idx, round(score, 6) AS score, row_number() OVER (PARTITION BY station ORDER BY score DESC NULLS FIRST, frame_idx) AS rank FROM station_scores")
 def rank_scores(spark, sf_dir):
     from pyspark.sql import Window
 
-    # One row per frame of one station.
     w = Window.partitionBy("station").orderBy(F.col("score").desc_nulls_first(), "frame_idx")
-    scored = frame_scores(spark, sf_dir).withColumn("station", F.lit("A"))
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).select("frame_idx", F.round("score", 6).alias("score"), "rank")
+    return station_scores(spark, sf_dir).withColumn("rank", F.row_number().over(w).cast("long")).select("station", "frame_idx", F.round("score", 6).alias("score"), "rank")
+
+
+_ONE_FRAME = "SELECT CAST({i} AS BIGINT) AS frame_idx, t_idx, f_idx, round(power, 4) AS power FROM cells WHERE t_idx >= {lo} AND t_idx < {lo} + 6"
+
+
+def _frame_rows(df: DataFrame) -> DataFrame:
+    return df.select("frame_idx", "t_idx", "f_idx", r("power", 4).alias("power"))
+
+
+@query(f"WITH {_SAMPLES} {_ONE_FRAME.format(i=-1, lo=101)}")
+def frame_load(spark, sf_dir):
+    return _frame_rows(frames.load_at(cells(spark, sf_dir), plan(), 101, nt=NT))
+
+
+@query(f"WITH {_SAMPLES} {_ONE_FRAME.format(i=5, lo=10)}")
+def frame_at(spark, sf_dir):
+    return _frame_rows(frames.frame_at(cells(spark, sf_dir), plan(), 5))
+
+
+@query(f"WITH {_SAMPLES} {_ONE_FRAME.format(i=random.Random(7).randrange(358), lo=2 * random.Random(7).randrange(358))}")
+def frame_random(spark, sf_dir):
+    return _frame_rows(frames.random_frame(cells(spark, sf_dir), plan(), 7))
+
+
+@query(f"WITH {_SAMPLES} SELECT CAST(pos AS BIGINT) AS pos, CAST(i AS BIGINT) AS frame_idx, t_idx, f_idx, round(power, 4) AS power FROM (VALUES (0, 5), (1, 0), (2, 5), (3, 357)) AS b(pos, i) JOIN cells ON t_idx >= 2 * i AND t_idx < 2 * i + 6")
+def frame_batch(spark, sf_dir):
+    return frames.frame_batch(cells(spark, sf_dir), plan(), [5, 0, 5, 357]).select("pos", "frame_idx", "t_idx", "f_idx", r("power", 4).alias("power"))
 
 
 # ---- windows and backgrounds --------------------------------------------------------------------------------
 
-START, STOP = datetime(2024, 1, 3, 0, 30, tzinfo=timezone.utc), datetime(2024, 1, 9, tzinfo=timezone.utc)
 _H = 3_600_000_000
+FIRST, LAST = int(T0) * 1_000_000, int(T0 + NT * DT) * 1_000_000
 
 
-@query("SELECT CAST((1704243600 + 3600 * k) * 1000000 AS BIGINT) AS window_us FROM range(143) AS x(k)")
+@query("WITH b AS (SELECT CAST(ceil(min(epoch_us(ts)) / 3600e6) AS BIGINT) AS lo, max(epoch_us(ts)) AS hi FROM events) SELECT (lo + k) * 3600000000 AS window_us FROM b, range(100000) AS x(k) WHERE (lo + k) * 3600000000 < hi")
 def score_windows(spark, sf_dir):
-    return spark.createDataFrame([(int(h.timestamp()) * 1_000_000,) for h in hour_starts(START, STOP, 1.0)], "window_us long")
+    times = spectra.table(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return rolling.starts(times, [], "t").select("window_us")
 
 
-def _windowed(spark, gap: int) -> DataFrame:
-    us = lambda t: int(t.timestamp()) * 1_000_000
-    return rolling.windows(frames.frames(spark, plan()), us(START), us(STOP), 24 * _H, stride_us=4 * _H, score_us=4 * _H, gap_us=gap)
+def _windowed(spark, sf_dir, gap: int) -> DataFrame:
+    """Windows over the frames of each station that have samples: all windows of the grid whose context is whole."""
+    have = station_framed(spark, sf_dir).select("station", "frame_idx").distinct().withColumn("start_us", start_us(F.col("frame_idx")))
+    return rolling.windows(have, FIRST + 12 * _H, LAST, 24 * _H, stride_us=4 * _H, score_us=4 * _H, gap_us=gap, by=["station"])
 
 
-_WINDOWS = """f AS (SELECT k AS frame_idx, CAST((1704067200 + 7200 * k) * 1000000 AS BIGINT) AS t FROM range(358) AS x(k)),
-w AS (SELECT CAST((1704243600 + 14400 * k) * 1000000 AS BIGINT) AS h FROM range(36) AS x(k)), H AS (SELECT 3600000000 AS hour),
-g AS (SELECT h AS window_us, frame_idx, (t >= h - 12 * hour AND t < h + 12 * hour{gap}) AS in_fit, (t >= h AND t < h + 4 * hour) AS in_score FROM f, w, H WHERE (SELECT max(t) FROM f) >= h + 12 * hour)
-SELECT window_us, count(*) FILTER (in_fit) AS n_context, count(*) FILTER (in_score) AS n_scored FROM g GROUP BY window_us"""
+_WINDOWS = _SFRAMED + """, f AS (SELECT DISTINCT station, frame_idx, CAST((1704067200 + 7200 * frame_idx) * 1000000 AS BIGINT) AS t FROM station_framed), l AS (SELECT station, max(t) AS last FROM f GROUP BY station),
+w AS (SELECT CAST((1704067200 + 43200 + 14400 * k) * 1000000 AS BIGINT) AS h FROM range(177) AS x(k)), H AS (SELECT 3600000000 AS hour),
+g AS (SELECT station, h AS window_us, frame_idx, (t >= h - 12 * hour AND t < h + 12 * hour{gap}) AS in_fit, (t >= h AND t < h + 4 * hour) AS in_score FROM f JOIN l USING (station), w, H WHERE last >= h + 12 * hour)
+SELECT station, window_us, count(*) FILTER (in_fit) AS n_context, count(*) FILTER (in_score) AS n_scored FROM g WHERE in_fit OR in_score GROUP BY station, window_us"""
 
 
 def _window_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("window_us").agg(F.count(F.when(F.col("in_fit"), 1)).alias("n_context"), F.count(F.when(F.col("in_score"), 1)).alias("n_scored"))
+    return df.groupBy("station", "window_us").agg(F.count(F.when(F.col("in_fit"), 1)).alias("n_context"), F.count(F.when(F.col("in_score"), 1)).alias("n_scored"))
 
 
-@query("WITH " + _WINDOWS.format(gap=""))
+@query("WITH " + _WINDOWS.replace("{gap}", ""))
 def centered_context(spark, sf_dir):
-    return _window_counts(_windowed(spark, 0))
+    return _window_counts(_windowed(spark, sf_dir, 0))
 
 
-@query("WITH " + _WINDOWS.format(gap=" AND NOT (t >= h - hour AND t < h + 5 * hour)"))
+@query("WITH " + _WINDOWS.replace("{gap}", " AND NOT (t >= h - hour AND t < h + 5 * hour)"))
 def donut_context(spark, sf_dir):
-    return _window_counts(_windowed(spark, 2 * _H))
+    return _window_counts(_windowed(spark, sf_dir, 2 * _H))
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -285,13 +403,28 @@ def _vectors(spark, sf_dir) -> DataFrame:
 @query("WITH x AS (SELECT label, vec_id AS frame_idx, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pix FROM embeddings), m AS (SELECT label, pix, avg(v) AS mu FROM x WHERE frame_idx % 3 < 2 GROUP BY ALL) SELECT label, frame_idx, round(max(greatest(v - mu, 0)), 5) AS peak, round(sum(abs(v - mu)), 4) AS l1 FROM x JOIN m USING (label, pix) GROUP BY label, frame_idx")
 def pca_mean_residual(spark, sf_dir):
     res = background.pca_residuals(_vectors(spark, sf_dir), ["label"], 0)
-    return res.groupBy("label", "frame_idx").agg(F.round(F.max(F.greatest("residual", F.lit(0.0))), 5).alias("peak"), F.round(F.sum(F.abs("residual")), 4).alias("l1"))
+    return res.groupBy("label", "frame_idx").agg(F.round(F.max(background.positive("residual")), 5).alias("peak"), F.round(F.sum(F.abs("residual")), 4).alias("l1"))
+
+
+def _broken_vectors(spark, sf_dir) -> DataFrame:
+    """Vectors with missing entries; a fifth of them has one or more."""
+    gone = lambda v, i: F.when((F.col("frame_idx") * 64 + i) % 311 == 3, float("nan")).otherwise(v)
+    return _vectors(spark, sf_dir).withColumn("features", F.transform("features", gone))
+
+
+@query("""WITH x AS (SELECT label, vec_id AS frame_idx, unnest(embedding)::DOUBLE AS v0, generate_subscripts(embedding, 1) - 1 AS pix FROM embeddings), x2 AS (SELECT *, CASE WHEN (frame_idx * 64 + pix) % 311 = 3 THEN NULL ELSE v0 END AS v FROM x),
+whole AS (SELECT label, frame_idx FROM x2 GROUP BY ALL HAVING count(v) = 64), m AS (SELECT label, pix, avg(v) AS mu FROM x2 JOIN whole USING (label, frame_idx) WHERE frame_idx % 3 < 2 GROUP BY label, pix),
+res AS (SELECT label, frame_idx, greatest(v - mu, 0) + CASE WHEN v IS NULL THEN NULL ELSE 0 END AS x FROM x2 JOIN m USING (label, pix)), k AS (SELECT *, row_number() OVER (PARTITION BY label, frame_idx ORDER BY x DESC NULLS LAST) AS k FROM res)
+SELECT label, frame_idx, count(x) AS n_finite, round(CASE WHEN count(x) >= 0.7 * 64 THEN sum(x) FILTER (k <= 8) * 64 / count(x) END, 5) AS score FROM k GROUP BY label, frame_idx""")
+def outlier_scores(spark, sf_dir):
+    res = background.pca_residuals(_broken_vectors(spark, sf_dir), ["label"], 0)
+    return background.outlier_scores(res, ["label", "frame_idx"], 64, topk=8).withColumn("score", F.round("score", 5))
 
 
 @query()
 def pca_residual_score(spark, sf_dir):
-    res = background.pca_residuals(_vectors(spark, sf_dir), ["label"], 8).withColumn("residual", F.greatest("residual", F.lit(0.0)))
-    return metrics.score(res, ["label", "frame_idx"], "residual", 64, "p99").withColumn("score", F.round("score", 6))
+    res = background.pca_residuals(_broken_vectors(spark, sf_dir), ["label"], 8)
+    return background.outlier_scores(res, ["label", "frame_idx"], 64, method="p99").withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -299,64 +432,129 @@ def pca_singular_values(spark, sf_dir):
     return background.singular_values(_vectors(spark, sf_dir), ["label"], 8).withColumn("value", F.round("value", 6))
 
 
+# Frames of 4 hours by 4 channels; an absent channel is missing. Contexts of 96 hours, a window every 12 hours.
+_ROLL = f"""{_SAMPLES}, coarse AS (SELECT 'S' || (event_id % 3) AS station, t_idx // 4 AS frame_idx, f_idx % 4 AS f, sum(value) AS power FROM samples GROUP BY ALL),
+vals AS (SELECT station, frame_idx, f, CAST(10 * log10(greatest(power, 1e-12)) AS FLOAT)::DOUBLE AS v FROM coarse),
+fr AS (SELECT station, frame_idx, CAST((1704067200 + 14400 * frame_idx) * 1000000 AS BIGINT) AS t, CASE WHEN count(*) = 4 THEN quantile_cont(v, 0.99) END AS q FROM vals GROUP BY station, frame_idx),
+w AS (SELECT CAST((1704067200 + 172800 + 43200 * k) * 1000000 AS BIGINT) AS h FROM range(56) AS x(k)), l AS (SELECT station, max(t) AS last FROM fr GROUP BY station),
+ctx AS (SELECT fr.*, h FROM fr JOIN w ON t >= h - 172800000000 AND t < h + 172800000000 JOIN l USING (station) WHERE last >= h + 172800000000),
+rk AS (SELECT *, row_number() OVER (PARTITION BY station, h ORDER BY q, frame_idx) AS r, count(*) OVER (PARTITION BY station, h) AS nq FROM ctx WHERE q IS NOT NULL),
+quiet AS (SELECT station, h, frame_idx FROM rk WHERE r <= greatest(1, floor(nq * 0.3))),
+mu AS (SELECT station, h, f, avg(v) AS mu FROM quiet JOIN vals USING (station, frame_idx) GROUP BY station, h, f),
+rolled AS (SELECT ctx.station AS station, ctx.h AS h, ctx.frame_idx AS frame_idx, ctx.t AS time_us, CASE WHEN count(*) >= 2 THEN sqrt(sum(greatest(v - mu, 0) ** 2) * 4 / count(*)) END AS score
+  FROM ctx JOIN vals ON vals.station = ctx.station AND vals.frame_idx = ctx.frame_idx JOIN mu ON mu.station = ctx.station AND mu.h = ctx.h AND mu.f = vals.f WHERE t >= ctx.h AND t < ctx.h + 43200000000 GROUP BY ALL)"""
+
+
+def coarse_frames(spark, sf_dir) -> DataFrame:
+    rows = samples(spark, sf_dir).withColumn("station", F.concat(F.lit("S"), F.col("event_id") % 3))
+    coarse = rows.groupBy("station", F.floor(F.col("t_idx") / 4).alias("frame_idx"), (F.col("f_idx") % 4).alias("f")).agg(F.sum("value").alias("power"))
+    by_f = F.map_from_entries(F.collect_list(F.struct("f", maths.safe_db(F.col("power")).alias("db"))))
+    vectors = coarse.groupBy("station", "frame_idx").agg(by_f.alias("by_f"))
+    return vectors.select("station", "frame_idx", start_us(F.col("frame_idx"), 4).alias("start_us"), F.array(*[F.coalesce(F.try_element_at("by_f", F.lit(f).cast("long")), F.lit(float("nan"))) for f in range(4)]).alias("features"))
+
+
+def _rolled(spark, sf_dir, k: int, **more) -> search.Search:
+    config = rolling.RollingConfig(context_us=96 * _H, stride_us=12 * _H, score_us=12 * _H, k=k, method="l2", score_options={"min_finite_frac": 0.5, "normalize_missing": True}, **more)
+    return search.search(coarse_frames(spark, sf_dir), FIRST + 48 * _H, LAST, config, ["station"], nsig=1.0, pad_us=_H, merge_gap_us=4 * _H)
+
+
+_STATUS = f"""{_ROLL}, n AS (SELECT station, h, count(*) AS n_context, count(*) FILTER (t >= h AND t < h + 43200000000) AS n_scored FROM ctx GROUP BY ALL), whole AS (SELECT station, h, count(*) AS n_quiet FROM quiet GROUP BY ALL),
+st AS (SELECT l.station AS station, w.h AS window_us, coalesce(n_context, 0) AS n_context, coalesce(n_quiet, 0) AS n_quiet,
+  CASE WHEN last < w.h + 172800000000 THEN 'not_fired' WHEN n_context IS NULL THEN 'empty_context' WHEN n_quiet IS NULL THEN 'no_quiet' WHEN n_scored = 0 THEN 'nothing_to_score' ELSE 'scored' END AS status
+  FROM l CROSS JOIN w LEFT JOIN n ON n.station = l.station AND n.h = w.h LEFT JOIN whole ON whole.station = l.station AND whole.h = w.h)"""
+
+
+@query(f"WITH {_STATUS} SELECT station, window_us, status, n_context, n_quiet FROM st")
+def rolling_windows(spark, sf_dir):
+    return _rolled(spark, sf_dir, 0).windows.select("station", "window_us", "status", "n_context", "n_quiet")
+
+
+@query(f"WITH {_STATUS} SELECT station, status, count(*) AS n FROM st GROUP BY ALL")
+def rolling_status(spark, sf_dir):
+    return rolling.status_counts(_rolled(spark, sf_dir, 0).windows, ["station"])
+
+
+@query(f"WITH {_ROLL} SELECT station, time_us, frame_idx, round(score, 4) AS score FROM rolled")
+def rolling_mean_scores(spark, sf_dir):
+    return _rolled(spark, sf_dir, 0).scores.withColumn("score", F.round("score", 4))
+
+
 @query()
 def rolling_scores(spark, sf_dir):
-    """Frames of cells (4 channels, 4 hours each) against the PCA of their quiet context, for all windows with a whole context on
-    the grid. An absent channel is NaN: its frame is never quiet and has no score."""
-    coarse = samples(spark, sf_dir).groupBy(F.floor(F.col("t_idx") / 4).alias("t"), (F.col("f_idx") % 4).alias("f")).agg(F.sum("value").alias("power"))
-    by_f = F.map_from_entries(F.collect_list(F.struct("f", maths.safe_db(F.col("power")).alias("db"))))
-    vectors = coarse.groupBy(F.col("t").alias("frame_idx")).agg(by_f.alias("by_f"))
-    vectors = vectors.select("frame_idx", F.array(*[F.coalesce(F.try_element_at("by_f", F.lit(f).cast("long")), F.lit(float("nan"))) for f in range(4)]).alias("features"))
-    vectors = vectors.withColumn("start_us", ((F.lit(T0) + F.col("frame_idx") * 4 * DT) * 1e6).cast("long"))
-    first, last = int(T0) * 1_000_000 + 48 * _H, int(T0 + NT * DT) * 1_000_000 - 48 * _H
-    w = rolling.windows(vectors, first, last, 96 * _H, 12 * _H, 12 * _H)
-    level = w.withColumn("score", F.when(F.col("in_fit"), F.array_max("features")))
-    quiet = background.select_quiet(level, ["window_us"], 0.7).select("window_us", "frame_idx", F.lit(True).alias("quiet"))
-    ready = w.join(quiet, ["window_us", "frame_idx"], "left").withColumn("quiet", F.coalesce("quiet", F.lit(False)))
-    res = background.pca_residuals(ready, ["window_us"], 2).join(w.where("in_score").select("window_us", "frame_idx"), ["window_us", "frame_idx"])
-    # greatest() alone would turn a missing residual into 0.
-    res = res.withColumn("residual", F.when(F.col("residual").isNotNull(), F.greatest("residual", F.lit(0.0))))
-    return metrics.score(res, ["window_us", "frame_idx"], "residual", 4, "l2").withColumn("score", F.round("score", 6))
+    """As rolling_mean_scores, against two components of each window's quiet frames."""
+    return _rolled(spark, sf_dir, 2).scores.withColumn("score", F.round("score", 6))
 
 
 # ---- regions of interest ------------------------------------------------------------------------------------
 
-_SCORES = f"{_FRAMED}, s AS (SELECT 'A' AS station, frame_idx, CAST((1704067200 + 7200 * frame_idx) * 1000000 AS BIGINT) AS time_us, CASE WHEN count(db) >= 1 THEN quantile_cont(db, 0.99) END AS score FROM framed GROUP BY frame_idx)"
-_LIMIT = """m AS (SELECT median(score) AS med FROM s), lim AS (SELECT any_value(med) AS med, 1.4826 * median(abs(score - med)) AS sigma, quantile_cont(score, 0.999) AS high FROM s, m),
-t AS (SELECT med AS median, sigma, CASE WHEN sigma > 0 THEN med + {nsig} * sigma ELSE high END AS threshold FROM lim)"""
 
+def _limit_sql(s: str, nsig: int) -> str:
+    return f"""m AS (SELECT station, median(score) AS med, quantile_cont(score, 0.999) AS high FROM {s} GROUP BY station), d0 AS (SELECT station, 1.4826 * median(abs(score - med)) AS sigma FROM {s} JOIN m USING (station) GROUP BY station),
+t AS (SELECT station, med AS median, sigma, CASE WHEN sigma > 0 THEN med + {nsig} * sigma ELSE high END AS threshold FROM m JOIN d0 USING (station))"""
 
-def station_scores(spark, sf_dir) -> DataFrame:
-    scored = frame_scores(spark, sf_dir, min_finite_frac=1e-9)
-    return scored.select(F.lit("A").alias("station"), "frame_idx", (F.lit(int(T0) * 1_000_000) + F.col("frame_idx") * int(STEP * DT) * 1_000_000).alias("time_us"), "score")
+
+def _roi_sql(s: str) -> str:
+    return f"""{_limit_sql(s, 1)}, a AS (SELECT s.*, coalesce(score > threshold, false) AS act FROM {s} AS s JOIN t USING (station)),
+b AS (SELECT *, sum((NOT act)::INT) OVER (PARTITION BY station ORDER BY time_us) AS run FROM a),
+c AS (SELECT station, min(time_us) - 3600000000 AS a0, max(time_us) + 3600000000 AS a1, max(score) AS peak, sum(score) AS total, count(*) AS n FROM b WHERE act GROUP BY station, run),
+d AS (SELECT *, CASE WHEN a0 - max(a1) OVER (PARTITION BY station ORDER BY a0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 14400000000 THEN 0 ELSE 1 END AS new FROM c),
+e AS (SELECT *, sum(new) OVER (PARTITION BY station ORDER BY a0) AS roi FROM d)
+SELECT station, min(a0) AS start_us, max(a1) AS stop_us, round(max(peak), 4) AS peak_score, round(sum(total), 4) AS sum_score, CAST(sum(n) AS BIGINT) AS n_frames FROM e GROUP BY station, roi"""
 
 
-@query(f"WITH {_SCORES}, {_LIMIT.format(nsig=3)} SELECT 'A' AS station, round(median, 6) AS median, round(sigma, 6) AS sigma, round(threshold, 6) AS threshold FROM t")
+def _regions(df: DataFrame) -> DataFrame:
+    return df.select("station", "start_us", "stop_us", F.round("peak_score", 4).alias("peak_score"), F.round("sum_score", 4).alias("sum_score"), "n_frames")
+
+
+@query(f"WITH {_SFRAMED}, {_limit_sql('station_scores', 3)} SELECT station, round(median, 6) AS median, round(sigma, 6) AS sigma, round(threshold, 6) AS threshold FROM t")
 def robust_threshold(spark, sf_dir):
     return metrics.robust_threshold(station_scores(spark, sf_dir), 3.0, ["station"]).select("station", *[F.round(c, 6).alias(c) for c in ("median", "sigma", "threshold")])
 
 
-@query(f"""WITH {_SCORES}, {_LIMIT.format(nsig=1)}, a AS (SELECT s.*, coalesce(score > threshold, false) AS act FROM s, t),
-b AS (SELECT *, sum((NOT act)::INT) OVER (ORDER BY time_us) AS run FROM a),
-c AS (SELECT min(time_us) - 3600000000 AS a0, max(time_us) + 3600000000 AS a1, max(score) AS peak, sum(score) AS total, count(*) AS n FROM b WHERE act GROUP BY run),
-d AS (SELECT *, CASE WHEN a0 - max(a1) OVER (ORDER BY a0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 14400000000 THEN 0 ELSE 1 END AS new FROM c),
-e AS (SELECT *, sum(new) OVER (ORDER BY a0) AS roi FROM d)
-SELECT 'A' AS station, min(a0) AS start_us, max(a1) AS stop_us, round(max(peak), 6) AS peak_score, round(sum(total), 6) AS sum_score, CAST(sum(n) AS BIGINT) AS n_frames FROM e GROUP BY roi""")
+@query(f"WITH {_SFRAMED}, {_roi_sql('station_scores')}")
 def roi_search(spark, sf_dir):
     """Events to cells, frames, decibels, p99 per frame, threshold, runs, padding and merging."""
-    found = rois.find_rois(station_scores(spark, sf_dir), ["station"], nsig=1.0, pad_us=_H, merge_gap_us=4 * _H)
-    return found.select("station", "start_us", "stop_us", F.round("peak_score", 6).alias("peak_score"), F.round("sum_score", 6).alias("sum_score"), "n_frames")
+    return _regions(rois.find_rois(station_scores(spark, sf_dir), ["station"], nsig=1.0, pad_us=_H, merge_gap_us=4 * _H))
+
+
+@query(f"WITH {_ROLL}, {_roi_sql('rolled')}")
+def rolling_roi(spark, sf_dir):
+    """The whole search: frames against their rolling quiet background, then regions of interest."""
+    return _regions(_rolled(spark, sf_dir, 0).regions)
+
+
+EVENTS = [("20240103_010000", "20240103_090000"), ("20240103_080000", "20240104_000000"), ("20240115_120000", "20240120_000000")]
+
+
+@query("SELECT CAST(row_number() OVER () - 1 AS BIGINT) AS event, CAST(i AS BIGINT) AS roi_index, epoch_us(strptime(a, '%Y%m%d_%H%M%S')) AS start_us, epoch_us(strptime(b, '%Y%m%d_%H%M%S')) AS stop_us FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in zip(rois.CURATED_INDICES, rois.CURATED, strict=True)) + ") AS v(i, a, b)")
+def curated_events(spark, sf_dir):
+    return rois.curated(spark)
+
+
+@query(f"WITH {_SFRAMED}, ev AS (SELECT CAST(e AS BIGINT) AS event, epoch_us(strptime(a, '%Y%m%d_%H%M%S')) AS lo, epoch_us(strptime(b, '%Y%m%d_%H%M%S')) AS hi FROM (VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(EVENTS)) + ") AS v(e, a, b)) SELECT event, station, frame_idx, time_us, round(score, 6) AS score FROM station_scores JOIN ev ON time_us BETWEEN lo AND hi")
+def event_scores(spark, sf_dir):
+    """Scores within hand-picked events, both ends included."""
+    found = rois.within(station_scores(spark, sf_dir), rois.curated(spark, EVENTS), ["event"])
+    return found.select("event", "station", "frame_idx", "time_us", F.round("score", 6).alias("score"))
 
 
 # ---- series -------------------------------------------------------------------------------------------------
 
-for _agg, _sql, _f in (("mean", "avg(power)", F.avg), ("median", "median(power)", F.median), ("sum", "sum(power)", F.sum)):
+_NAN = "CASE WHEN (t_idx * 7 + {f}) % 29 IN (3, 11, 20) THEN NULL ELSE {x} END"
+
+
+def some_nan(x: str, f: Column) -> Column:
+    return F.when(((F.col("t_idx") * 7 + f) % 29).isin(3, 11, 20), float("nan")).otherwise(F.col(x))
+
 
-    def _curve(spark, sf_dir, f=_f):
-        return cells(spark, sf_dir).groupBy("t_idx").agg(F.round(f("power"), 4).alias("flux"))
+for _how, _sql in (("mean", "avg(p)"), ("median", "median(p)"), ("sum", "coalesce(sum(p), 0)")):
 
-    _curve.__name__ = f"lightcurve_{_agg}"
-    query(f"WITH {_SAMPLES} SELECT t_idx, round({_sql}, 4) AS flux FROM cells GROUP BY t_idx")(_curve)
+    def _curve(spark, sf_dir, how=_how):
+        rows = cells(spark, sf_dir).withColumn("power", some_nan("power", F.col("f_idx")))
+        return series.light_curve(rows, ["t_idx"], "power", how).withColumn("flux", F.round("flux", 6))
+
+    _curve.__name__ = f"lightcurve_{_how}"
+    query(f"WITH {_SAMPLES}, g AS (SELECT t_idx, {_NAN.format(f='f_idx', x='power')} AS p FROM cells) SELECT t_idx, round({_sql}, 6) AS flux FROM g GROUP BY t_idx")(_curve)
 
 _TWO = f"{_SAMPLES}, c AS (SELECT event_type AS series, t_idx, sum(value) AS flux FROM samples GROUP BY ALL)"
 
@@ -365,9 +563,36 @@ def curves(spark, sf_dir) -> DataFrame:
     return samples(spark, sf_dir).groupBy(F.col("event_type").alias("series"), "t_idx").agg(F.sum("value").alias("flux"))
 
 
-@query(f"WITH {_TWO} SELECT series, t_idx, round((flux - min(flux) OVER w) / (max(flux) OVER w - min(flux) OVER w), 6) AS scaled FROM c WINDOW w AS (PARTITION BY series)")
+@query(f"WITH {_TWO}, g AS (SELECT series, t_idx, {_NAN.format(f=0, x='flux')} AS flux FROM c) SELECT series, t_idx, round((flux - min(flux) OVER w) / (max(flux) OVER w - min(flux) OVER w), 6) AS scaled FROM g WINDOW w AS (PARTITION BY series)")
 def minmax_normalize(spark, sf_dir):
-    return series.minmax(curves(spark, sf_dir), "flux", ["series"], "scaled").select("series", "t_idx", F.round("scaled", 6).alias("scaled"))
+    rows = curves(spark, sf_dir).withColumn("flux", some_nan("flux", F.lit(0)))
+    return series.minmax(rows, "flux", ["series"], "scaled").select("series", "t_idx", F.round("scaled", 6).alias("scaled"))
+
+
+_STATION_CURVES = f"{_SAMPLES}, {_STATIONS}, curve AS (SELECT station, t_idx, avg(power) AS flux FROM station_cells GROUP BY ALL)"
+
+
+@query(f"WITH {_STATION_CURVES} SELECT station, t_idx, round((flux - min(flux) OVER w) / (max(flux) OVER w - min(flux) OVER w), 6) AS scaled FROM curve WINDOW w AS (PARTITION BY station)")
+def station_curves(spark, sf_dir):
+    curve = series.light_curve(station_cells(spark, sf_dir), ["station", "t_idx"], "power")
+    return series.minmax(curve, "flux", ["station"], "scaled", guard=False).select("station", "t_idx", F.round("scaled", 6).alias("scaled"))
+
+
+_FLUX = "SELECT epoch_us(ts) AS time_us, event_id, round(value * 1e-8, 12) AS xrsa_flux, round(value * 1e-7, 12) AS xrsb_flux FROM events"
+
+
+@query(f"WITH x AS ({_FLUX}) SELECT * FROM x WHERE time_us >= 1704240000000000 AND time_us < 1704672000000000")
+def flux_load(spark, sf_dir):
+    """Two tables of fluxes (users with even and odd ids) as one series of 2024-01-03 to 2024-01-07."""
+    rows = spectra.table(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("time_us"), "event_id", "user_id", F.round(F.col("value") * 1e-8, 12).alias("xrsa_flux"), F.round(F.col("value") * 1e-7, 12).alias("xrsb_flux"))
+    parts = [rows.where(F.col("user_id") % 2 == k) for k in (0, 1)]
+    return series.load_series(parts, F.lit(1_704_240_000_000_000), F.lit(1_704_672_000_000_000), ("time_us", "event_id", "xrsa_flux", "xrsb_flux"))
+
+
+@query(f"WITH x AS ({_FLUX}), o AS (SELECT min(time_us) AS lo, max(time_us) AS hi FROM x WHERE event_id % 97 = 5) SELECT time_us, event_id, xrsb_flux FROM x, o WHERE time_us BETWEEN lo AND hi")
+def flux_clip(spark, sf_dir):
+    rows = spectra.table(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("time_us"), "event_id", F.round(F.col("value") * 1e-7, 12).alias("xrsb_flux"))
+    return series.clip_to(rows, rows.where(F.col("event_id") % 97 == 5), "time_us")
 
 
 @query("WITH x AS (SELECT o_orderkey, o_orderkey * 50000.0 AS s FROM orders), n AS (SELECT o_orderkey, CAST(946728000000000 + round(s * 1e6) AS BIGINT) AS us FROM x) SELECT o_orderkey, us + 1000000 * (SELECT count(*) FROM (VALUES ('2006-01-01'), ('2009-01-01'), ('2012-07-01'), ('2015-07-01'), ('2017-01-01')) AS d(l) WHERE us >= epoch_us(CAST(l AS TIMESTAMP))) AS us FROM n")
@@ -384,33 +609,150 @@ def interp_linear(spark, sf_dir):
     return found.select("series", "x", F.round("y", 4).alias("y"))
 
 
-@query(f"""WITH {_TWO}, p AS (SELECT 'A' AS station, t_idx, max(flux) FILTER (series = 'purchase') AS a, max(flux) FILTER (series = 'view') AS b FROM c GROUP BY t_idx),
-q AS (SELECT row_number() OVER (ORDER BY t_idx) - 1 AS i, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b, count(*) OVER () AS n FROM p WHERE a IS NOT NULL AND b IS NOT NULL)
-SELECT 'A' AS station, x.i - y.i AS lag, round(sum(x.a * y.b) / any_value(x.n), 6) + 0.0 AS corr FROM q x JOIN q y ON abs(x.i - y.i) <= 12 GROUP BY lag""")
+@query(f"""WITH {_SAMPLES}, c AS (SELECT 'S' || (event_id % 3) AS station, event_type AS series, t_idx, sum(value) AS flux FROM samples GROUP BY ALL),
+p AS (SELECT station, t_idx, max(flux) FILTER (series = 'purchase') AS a, {_NAN.format(f=0, x="max(flux) FILTER (series = 'view')")} AS b FROM c GROUP BY station, t_idx),
+q AS (SELECT station, row_number() OVER (PARTITION BY station ORDER BY t_idx) - 1 AS i, (a - avg(a) OVER w) / stddev_pop(a) OVER w AS a, (b - avg(b) OVER w) / stddev_pop(b) OVER w AS b, count(*) OVER w AS n FROM p WHERE a IS NOT NULL AND b IS NOT NULL WINDOW w AS (PARTITION BY station))
+SELECT x.station AS station, x.i - y.i AS lag, round(sum(x.a * y.b) / any_value(x.n), 6) + 0.0 AS corr FROM q x JOIN q y ON x.station = y.station AND abs(x.i - y.i) <= 12 WHERE x.n >= 3 GROUP BY x.station, lag""")
 def xcorr_lag(spark, sf_dir):
-    c = curves(spark, sf_dir)
-    pairs = c.groupBy("t_idx").agg(F.max(F.when(F.col("series") == "purchase", F.col("flux"))).alias("a"), F.max(F.when(F.col("series") == "view", F.col("flux"))).alias("b")).withColumn("station", F.lit("A"))
+    c = samples(spark, sf_dir).groupBy(F.concat(F.lit("S"), F.col("event_id") % 3).alias("station"), F.col("event_type").alias("series"), "t_idx").agg(F.sum("value").alias("flux"))
+    of = lambda name: F.max(F.when(F.col("series") == name, F.col("flux")))
+    pairs = c.groupBy("station", "t_idx").agg(of("purchase").alias("a"), of("view").alias("b")).withColumn("b", some_nan("b", F.lit(0)))
     return series.cross_correlation(pairs, ["station"], "t_idx", "a", "b", 12).select("station", F.col("lag").cast("long").alias("lag"), r("corr").alias("corr"))
 
 
-@query(f"WITH {_SAMPLES}, q AS (SELECT quantile_cont(power, 0.01) AS lo, quantile_cont(power, 0.99) AS hi FROM cells) SELECT round(CASE WHEN lo < hi THEN lo ELSE 0 END, 4) AS lo, round(CASE WHEN lo < hi THEN hi ELSE 1 END, 4) AS hi, round(greatest(abs(lo), abs(hi)), 4) AS symmetric FROM q")
+@query(f"WITH {_GAP_CELLS}, q AS (SELECT quantile_cont(power, 0.01) AS lo, quantile_cont(power, 0.99) AS hi FROM cells2 WHERE isfinite(power)) SELECT round(CASE WHEN lo < hi THEN lo ELSE 0 END, 4) AS lo, round(CASE WHEN lo < hi THEN hi ELSE 1 END, 4) AS hi, round(CASE WHEN greatest(abs(lo), abs(hi)) > 0 THEN greatest(abs(lo), abs(hi)) ELSE 1 END, 4) AS symmetric FROM q")
 def color_limits(spark, sf_dir):
-    q = cells(spark, sf_dir).agg(F.percentile("power", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    lo, hi = F.col("q")[0], F.col("q")[1]
-    return q.select(F.round(F.when(lo < hi, lo).otherwise(0.0), 4).alias("lo"), F.round(F.when(lo < hi, hi).otherwise(1.0), 4).alias("hi"), F.round(F.greatest(F.abs(lo), F.abs(hi)), 4).alias("symmetric"))
+    found = series.color_limits(cells(spark, sf_dir).withColumn("power", gappy("power")), "power")
+    return found.select(*[F.round(c, 4).alias(c) for c in ("lo", "hi", "symmetric")])
 
 
-@query(f"WITH {_SAMPLES}, t AS (SELECT DISTINCT t_idx FROM cells), s AS (SELECT t_idx, lag(t_idx) OVER (ORDER BY t_idx) AS p, lead(t_idx) OVER (ORDER BY t_idx) AS n FROM t), m AS (SELECT median(t_idx - p) AS step FROM s) SELECT t_idx, round(coalesce((t_idx + p) / 2.0, t_idx - step / 2), 6) AS lo, round(coalesce((t_idx + n) / 2.0, t_idx + step / 2), 6) AS hi FROM s, m")
-def cell_edges(spark, sf_dir):
-    from pyspark.sql import Window
+_STEPS = f"{_SAMPLES}, {_STATIONS}, d AS (SELECT DISTINCT station, t_idx FROM station_cells), s AS (SELECT station, t_idx, lag(t_idx) OVER w AS p, lead(t_idx) OVER w AS n FROM d WINDOW w AS (PARTITION BY station ORDER BY t_idx)), m AS (SELECT station, median(t_idx - p) AS step FROM s GROUP BY station)"
+
+
+@query(f"WITH {_STEPS} SELECT station, round(step, 6) AS cadence FROM m")
+def median_cadence(spark, sf_dir):
+    return series.median_cadence(station_cells(spark, sf_dir), ["station"], "t_idx").withColumn("cadence", F.round("cadence", 6))
+
 
-    w = Window.partitionBy("station").orderBy("t_idx")
-    s = cells(spark, sf_dir).select(F.lit("A").alias("station"), "t_idx").distinct().withColumn("p", F.lag("t_idx").over(w)).withColumn("n", F.lead("t_idx").over(w))
-    s = s.join(s.groupBy("station").agg(F.median(F.col("t_idx") - F.col("p")).alias("step")), "station")
-    return s.select("t_idx", F.round(F.coalesce((F.col("t_idx") + F.col("p")) / 2, F.col("t_idx") - F.col("step") / 2), 6).alias("lo"), F.round(F.coalesce((F.col("t_idx") + F.col("n")) / 2, F.col("t_idx") + F.col("step") / 2), 6).alias("hi"))
+@query(f"WITH {_STEPS} SELECT station, t_idx, round(coalesce((t_idx + p) / 2.0, t_idx - step / 2), 6) AS lo, round(coalesce((t_idx + n) / 2.0, t_idx + step / 2), 6) AS hi FROM s JOIN m USING (station)")
+def cell_edges(spark, sf_dir):
+    return series.cell_edges(station_cells(spark, sf_dir), ["station"], "t_idx").select("station", "t_idx", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 @query(f"WITH {_SAMPLES} SELECT t_idx // 24 AS day, round(min(power), 4) AS lo, round(max(power), 4) AS hi, CASE WHEN min(power) > 10 THEN 'day' WHEN max(power) < 10 THEN 'night' ELSE 'twilight' END AS kind FROM cells GROUP BY day")
 def daily_envelope(spark, sf_dir):
     lo, hi = F.min("power"), F.max("power")
     return cells(spark, sf_dir).groupBy(F.floor(F.col("t_idx") / 24).alias("day")).agg(F.round(lo, 4).alias("lo"), F.round(hi, 4).alias("hi"), F.when(lo > 10, "day").when(hi < 10, "night").otherwise("twilight").alias("kind"))
+
+
+# ---- terrain ------------------------------------------------------------------------------------------------
+
+# The elevation grid: part k lies in row k // 40 and column k % 40, as high as its size; suppliers are the points.
+_DEM = "dem AS (SELECT p_partkey // 40 AS row, p_partkey % 40 AS col, p_size * 1.0 AS z FROM part), pts AS (SELECT s_suppkey AS point, s_suppkey % 5 AS row0, (s_suppkey * 7) % 40 AS col0 FROM supplier)"
+_HORIZON = f"""{_DEM}, ray AS (SELECT point, a * 45.0 AS azimuth, k * 1.0 AS d, dem.z AS z0, round(row0 - sin(radians(a * 45.0)) * k, 9) AS y, round(col0 + cos(radians(a * 45.0)) * k, 9) AS x FROM pts JOIN dem ON row = row0 AND col = col0, range(8) AS u(a), range(1, 7) AS v(k)),
+corner AS (SELECT point, azimuth, d, z0, floor(y) + i AS row, floor(x) + j AS col, (CASE WHEN i = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN j = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM ray, range(2) AS p(i), range(2) AS q(j)),
+smp AS (SELECT point, azimuth, d, z0, CASE WHEN count(*) = count(z) THEN sum(w * z) END AS z FROM corner LEFT JOIN dem ON dem.row = corner.row AND dem.col = corner.col WHERE w > 0 GROUP BY point, azimuth, d, z0),
+hz AS (SELECT point, azimuth, max(degrees(atan2(z - z0, d))) AS horizon FROM smp GROUP BY point, azimuth)"""
+
+
+def _horizon(spark, sf_dir) -> DataFrame:
+    k = F.col("p_partkey")
+    dem = spectra.table(spark, sf_dir, "part").select(F.floor(k / 40).alias("row"), (k % 40).alias("col"), F.col("p_size").cast("double").alias("elevation"))
+    s = F.col("s_suppkey")
+    points = spectra.table(spark, sf_dir, "supplier").select(s.alias("point"), (s % 5).alias("row0"), ((s * 7) % 40).alias("col0"))
+    return terrain.horizon_profile(points, dem, ["point"], n_directions=8, max_distance=6.0, step=1.0)
+
+
+@query(f"WITH {_HORIZON} SELECT point, azimuth, round(horizon, 6) + 0.0 AS horizon FROM hz")
+def horizon_profile(spark, sf_dir):
+    return _horizon(spark, sf_dir).withColumn("horizon", r("horizon"))
+
+
+@query(f"WITH {_HORIZON}, o AS (SELECT o_custkey % 10 AS point, o_orderkey // 8 AS day, o_orderkey % 8 AS k, o_totalprice / 10000 AS alt FROM orders) SELECT o.point, day, round(count(*) FILTER (alt >= horizon) / 8.0, 6) AS fraction FROM o LEFT JOIN hz ON hz.point = o.point AND azimuth = k * 45.0 GROUP BY o.point, day")
+def illuminated_fraction(spark, sf_dir):
+    """Orders stand in for a sky path: eight samples a day, of which sample k meets horizon k."""
+    k = F.col("o_orderkey")
+    path = spectra.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("point"), F.floor(k / 8).alias("day"), (k % 8).alias("k"), (F.col("o_totalprice") / 10000).alias("altitude"))
+    profile = _horizon(spark, sf_dir).select("point", F.round(F.col("azimuth") / 45).cast("long").alias("k"), "horizon")
+    return terrain.illuminated_fraction(path, profile, ["point"], "day", "k", "altitude", 8).withColumn("fraction", F.round("fraction", 6))
+
+
+# ---- raw files ----------------------------------------------------------------------------------------------
+
+# Paths made from events: every seventh directory has nine digits; files of four components.
+_PATHS = "paths AS (SELECT '/raw/' || (event_id % 5) || '/' || CASE WHEN event_id % 7 = 0 THEN '17040672' || (10 + event_id % 90) % 10 ELSE CAST(1704067200 + (event_id // 3) * 600 AS VARCHAR) END || '/' || (['pol00', 'pol11', 'pol01r', 'pol01i'])[CAST(event_id % 4 AS INT) + 1] || '.scio.bz2' AS path FROM events)"
+_DIRS = f"{_PATHS}, dirs AS (SELECT path, CAST(regexp_extract(path, '/(\\d{{10}})/[^/]+$', 1) AS BIGINT) AS unix_s, regexp_extract(path, '/(pol[^/.]+)\\.[^/]+$', 1) AS component FROM paths WHERE regexp_extract(path, '/(\\d{{10}})/[^/]+$', 1) <> '')"
+
+
+def _paths(spark, sf_dir) -> DataFrame:
+    k = F.col("event_id")
+    folder = F.when(k % 7 == 0, F.concat(F.lit("17040672"), ((10 + k % 90) % 10).cast("string"))).otherwise((F.lit(1_704_067_200) + F.floor(k / 3) * 600).cast("string"))
+    name = F.element_at(F.array(*map(F.lit, spectra.COMPONENTS)), (k % 4 + 1).cast("int"))
+    return spectra.table(spark, sf_dir, "events").select(F.concat(F.lit("/raw/"), (k % 5).cast("string"), F.lit("/"), folder, F.lit("/"), name, F.lit(".scio.bz2")).alias("path"))
+
+
+@query(f"WITH {_DIRS} SELECT path, unix_s, component FROM dirs")
+def timestamp_dirs(spark, sf_dir):
+    return spectra.timestamp_dirs(_paths(spark, sf_dir)).select("path", "unix_s", "component")
+
+
+@query(f"WITH {_DIRS} SELECT path, unix_s FROM dirs WHERE unix_s BETWEEN 1704240000 AND 1704672001")
+def dirs_in_range(spark, sf_dir):
+    return spectra.in_range(spectra.timestamp_dirs(_paths(spark, sf_dir)), 1_704_240_000.5, 1_704_672_000.5, need=True).select("path", "unix_s")
+
+
+@query(f"WITH {_DIRS} SELECT regexp_extract(path, '^(.*)/[^/]+$', 1) AS dir, unix_s, max(path) FILTER (component = 'pol00') AS pol00, max(path) FILTER (component = 'pol11') AS pol11, max(path) FILTER (component = 'pol01r') AS pol01r, max(path) FILTER (component = 'pol01i') AS pol01i FROM dirs GROUP BY ALL")
+def component_paths(spark, sf_dir):
+    return spectra.component_paths(_paths(spark, sf_dir))
+
+
+# Component arrays made from embeddings: some are missing, some short.
+_PARTS = "parts AS (SELECT vec_id, embedding AS pol00, CASE WHEN vec_id % 11 = 0 THEN NULL ELSE embedding END AS pol11, CASE WHEN vec_id % 13 = 0 THEN embedding[1:60] ELSE embedding END AS pol01r, CASE WHEN vec_id % 13 = 0 THEN embedding[1:60] ELSE embedding END AS pol01i FROM embeddings)"
+
+
+def _parts(spark, sf_dir) -> DataFrame:
+    e, k = F.col("embedding"), F.col("vec_id")
+    rows = spectra.table(spark, sf_dir, "embeddings")
+    short = F.when(k % 13 == 0, F.slice(e, 1, 60)).otherwise(e)
+    values = {"pol00": e, "pol11": F.when(k % 11 != 0, e), "pol01r": short, "pol01i": short}
+    return spectra.join_components({n: rows.select("vec_id", x.alias("values")) for n, x in values.items()}, ["vec_id"])
+
+
+@query(f"WITH {_PARTS}, x AS (SELECT CASE WHEN pol11 IS NULL THEN 'missing' WHEN len(pol01r) <> len(pol00) THEN 'shape' END AS reason FROM parts) SELECT reason, count(*) AS n FROM x WHERE reason IS NOT NULL GROUP BY reason")
+def row_rejects(spark, sf_dir):
+    return spectra.reject_counts(_parts(spark, sf_dir), 64)
+
+
+@query(f"WITH {_PARTS} SELECT vec_id, round(list_sum(pol00::DOUBLE[]), 4) AS total FROM parts WHERE pol11 IS NOT NULL AND len(pol01r) = 64")
+def row_validation(spark, sf_dir):
+    return spectra.complete(_parts(spark, sf_dir), 64).select("vec_id", F.round(F.aggregate("pol00", F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
+
+
+@query(f"WITH {_PARTS}, x AS (SELECT vec_id, unnest(pol01r)::DOUBLE AS re, unnest(list_reverse(pol01i))::DOUBLE AS im FROM parts WHERE pol11 IS NOT NULL AND len(pol01r) = 64) SELECT vec_id, round(sum(sqrt(re * re + im * im)), 4) AS mag, round(sum(atan2(im, re)), 4) + 0.0 AS phase FROM x GROUP BY vec_id")
+def derive_arrays(spark, sf_dir):
+    rows = spectra.complete(_parts(spark, sf_dir), 64)
+    for c in ("pol01r", "pol01i"):
+        rows = rows.withColumn(c, F.col(c).cast("array<double>"))
+    done = spectra.derive_channels(rows.withColumn("pol01i", F.reverse("pol01i")))
+    total = lambda c: r(F.aggregate(c, F.lit(0.0), lambda s, v: s + v), 4)
+    return done.select("vec_id", total("pol01_mag").alias("mag"), total("pol01_phase").alias("phase"))
+
+
+@query("WITH x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) SELECT vec_id, CAST(floor(vec_id * 77.0 / 10 + 0.5) + k AS BIGINT) AS t_idx, round(v::DOUBLE, 5) AS v FROM x WHERE floor(vec_id * 77.0 / 10 + 0.5) + k < 3000")
+def block_regularize(spark, sf_dir):
+    """Blocks of 64 samples that begin every 77 seconds on a grid of 10 seconds, cut off at its end."""
+    rows = spectra.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") * 77.0).alias("unix_s"), F.col("embedding").alias("v"))
+    return spectra.place_blocks(rows, "unix_s", 0.0, 10.0, 3000, ["v"]).select("vec_id", "t_idx", F.round(F.col("v").cast("double"), 5).alias("v"))
+
+
+@query(f"WITH {_SAMPLES}, {_STATIONS}, one AS (SELECT * FROM station_cells WHERE f_idx = 7) SELECT s.station, g.t AS t_idx, round(power, 4) AS power FROM (SELECT DISTINCT station FROM one) AS s CROSS JOIN range(720) AS g(t) LEFT JOIN one ON one.station = s.station AND one.t_idx = g.t")
+def dense_grid(spark, sf_dir):
+    one = station_cells(spark, sf_dir).where("f_idx = 7").select("station", "t_idx", "power")
+    return spectra.dense(one, NT, ["station"]).select("station", "t_idx", r("power", 4).alias("power"))
+
+
+@query("SELECT CAST(row_number() OVER () - 1 AS INT) AS i, key, value FROM (SELECT unnest([{'key': 'station', 'value': min(n_name)}, {'key': 'startutc', 'value': '20240101_000000'}, {'key': 'stoputc', 'value': '20240131_000000'}, {'key': 'created_utc', 'value': '20240201_000000'}, {'key': 'nt', 'value': '720'}, {'key': 'nchan', 'value': '16'}, {'key': 'dt_seconds', 'value': '3600.0'}, {'key': 'f0_mhz', 'value': '0.0'}, {'key': 'df_mhz', 'value': '0.25'}, {'key': 'source_root', 'value': '/raw'}], recursive := true) FROM nation)")
+def cube_meta(spark, sf_dir):
+    station = spectra.table(spark, sf_dir, "nation").agg(F.min("n_name").alias("name"))
+    meta = spectra.cube_meta(spark, "", T0, DT, NT, NF, 0.0, 0.25, "/raw", datetime(2024, 2, 1, tzinfo=timezone.utc)).drop("station")
+    return spectra.meta_rows(station.withColumnRenamed("name", "station").crossJoin(F.broadcast(meta)))
