@@ -1,32 +1,42 @@
 """Quality rules: a linear-chain conditional random field labels lines as content or boilerplate.
 
 Features of all lines of a block are computed at once from the bytes of the texts. The CRF (two labels, real-valued
-features, a transition score per pair) is trained in numpy on a bounded sample of labelled documents, whose lines
-take their document's quality label; long documents are labelled whole, by Viterbi decoding over many texts at once.
-A document stays if enough of its words stand in content lines and no base rule fails.
+features, a transition score per pair) is trained in numpy on a bounded sample of labelled documents. Its lines take
+their targets from two sources: lines that recur across unrelated documents (page furniture) are boilerplate wherever
+they stand; all other lines take their document's quality label. So labels change within documents, and transitions are
+learned. Long documents are labelled whole, by Viterbi decoding over many texts at once. A document stays if
+enough of its words stand in content lines and no base rule fails.
+
+Recurring lines are counted over all documents by grouping. A line counts once per document, and only if most of its
+documents differ in their other lines: lines of copies and near-copies are no furniture.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .samples import draw, texts_of
-from .text import Words, blocks, fresh, split_words
+from .text import Words, blocks, fresh, look_up, same_name, split_words, written
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 #: Features of a line, in order.
-FEATURES = ["bias", "log_words", "symbol_share", "upper_share", "exclamation_per_word", "bar_per_word", "digit_share", "ends_sentence", "same_as_previous_word", "in_repeated_window", "repeats_a_line", "under_four_words", "word_length"]
+FEATURES = ["bias", "log_words", "symbol_share", "upper_share", "exclamation_per_word", "bar_per_word", "digit_share", "ends_sentence", "same_as_previous_word", "in_repeated_window", "repeats_a_line", "under_four_words", "word_length", "recurs"]
 #: Lines of a training sequence at most; longer documents are cut into several sequences.
 TRAINING_LINES = 400
+#: A line recurs if it stands in so many documents, and in one of so many of all. So at most MOST_RARE times the mean number of a document's lines recur.
+LEAST_DOCS, MOST_RARE = 10, 5000
+#: And if the documents that have it show so many different sets of other lines, as a share of their number.
+LEAST_VARIETY = 0.5
 
 
 def _table(chars: str) -> np.ndarray:
@@ -79,7 +89,37 @@ def repeated_words(w: Words) -> np.ndarray:
     return marks
 
 
-def lines_of(texts: pa.Array) -> Lines:
+def line_hash(line: bytes) -> int:
+    """Hash of a line without the white space at its ends."""
+    return xxhash.xxh3_64_intdigest(line.strip(), 0)
+
+
+def recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, most_rare: int = MOST_RARE, least_variety: float = LEAST_VARIETY) -> np.ndarray:
+    """Sorted hashes of the lines with words that recur across unrelated documents of docs (text): see LEAST_DOCS, MOST_RARE, LEAST_VARIETY.
+
+    Documents are told apart by the smallest hash among their other lines.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch, 0):
+                line, other = [], []
+                for text in pc.fill_null(b.column(0), "").cast(pa.binary()).to_pylist():
+                    own = {line_hash(x) for x in text.split(b"\n") if x.strip()}
+                    low = sorted(own)[:2]
+                    line += own
+                    other += [(low[1] if h == low[0] else low[0]) if len(low) > 1 else 0 for h in own]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (line, other)], ["line", "other"])
+
+    # Lines of one document only, most of them, leave after the first aggregate's partial counts meet.
+    pairs = docs.select("text").mapInArrow(count, "line long, other long").groupBy("line", "other").agg(F.count("*").alias("n"))
+    lines = written(pairs.groupBy("line").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where(F.col("n") >= least_docs), "recurring")
+    total = docs.count()
+    found = lines.where((F.col("n") * most_rare >= total) & (F.col("kinds") >= F.col("n") * least_variety)).select("line").toArrow()
+    return np.sort(found.column(0).to_numpy().view(np.uint64)) if found.num_rows else np.empty(0, np.uint64)
+
+
+def lines_of(texts: pa.Array, recurring: np.ndarray | None = None) -> Lines:
     """Splits texts at \\n; a text has one line more than it has \\n. Null is empty."""
     texts = pc.fill_null(texts, "")
     w = split_words(texts)
@@ -120,7 +160,7 @@ def lines_of(texts: pa.Array) -> Lines:
     marks = repeated_words(w)
     per_line = lambda flags: np.bincount(line_of_word, flags, len(doc))
 
-    again = np.zeros(len(doc), bool)
+    again, hashes = np.zeros(len(doc), bool), np.zeros(len(doc), np.uint64)
     view, seen, before = data.tobytes(), set(), -1
     for i in np.flatnonzero(words):
         if doc[i] != before:
@@ -128,6 +168,9 @@ def lines_of(texts: pa.Array) -> Lines:
         line = view[start[i] : end[i]]
         again[i] = line in seen
         seen.add(line)
+        hashes[i] = line_hash(line)
+    recurs = look_up(recurring, hashes) >= 0 if recurring is not None else np.zeros(len(doc), bool)
+    recurs &= words > 0
 
     # The last byte of a line that is no space tells whether it ends a sentence.
     solid_at = np.flatnonzero(~space)
@@ -139,7 +182,7 @@ def lines_of(texts: pa.Array) -> Lines:
     some = np.maximum(words, 1)
     features = np.stack([
         np.ones(len(doc)), np.log1p(words), symbols / np.maximum(solid, 1), count(_UPPER[data]) / np.maximum(letters, 1), count(data == 33) / some, count(data == 124) / some,
-        count(_DIGIT[data]) / np.maximum(solid, 1), stop, per_line(same) / some, per_line(marks) / some, again, words < 4, chars / some,
+        count(_DIGIT[data]) / np.maximum(solid, 1), stop, per_line(same) / some, per_line(marks) / some, again, words < 4, chars / some, recurs,
     ], axis=1).astype(np.float64)
     return Lines(w.counts, of_docs(chars), of_docs(symbols), of_docs(again), np.bincount(w.doc, marks, n).astype(np.int64), doc, words, features)
 
@@ -152,6 +195,8 @@ class Crf:
     scale: np.ndarray
     weights: np.ndarray
     transition: np.ndarray
+    #: Hashes of the lines that recur across documents.
+    recurring: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
         return ((features - self.mean) / self.scale) @ self.weights
@@ -226,11 +271,18 @@ def fit(features: np.ndarray, doc: np.ndarray, label: np.ndarray, rounds: int =
     return Crf(mean, scale, theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2))
 
 
+def targets(x: Lines, quality: np.ndarray) -> np.ndarray:
+    """1 (content) or 0 (boilerplate) of each line: 0 for one that recurs, else the quality of its document."""
+    return np.where(x.features[:, FEATURES.index("recurs")] > 0, 0, quality[x.doc])
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Crf:
-    """On about ``most`` labelled documents at most (half of them of either quality, where there are as many).
+    """On about ``most`` labelled documents at most (half of them of either quality, where there are as many); lines that recur come from all documents.
 
     Lines without words are left out; all others count, in sequences of at most TRAINING_LINES lines. Without labels of both kinds, every line counts as content.
     """
+    recurring = recurring_lines(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(recurring)
     kinds = []
     for y in (0, 1):
         sample, _ = draw(labels, F.col("quality") == y, most // 2, 2, share=1.0)
@@ -239,22 +291,25 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Crf:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch, 0):
-                x = lines_of(b.column(0))
-                y = b.column(1).to_numpy(zero_copy_only=False)
+                x = lines_of(b.column(0), shared.value)
+                y = targets(x, b.column(1).to_numpy(zero_copy_only=False))
+                real = np.flatnonzero(x.words > 0)
+                cut = np.searchsorted(x.doc[real], np.arange(b.num_rows + 1))
                 for d in range(b.num_rows):
-                    own = np.flatnonzero((x.doc == d) & (x.words > 0))
-                    for k in range(0, len(own), TRAINING_LINES):
-                        part = x.features[own[k : k + TRAINING_LINES]]
-                        yield pa.RecordBatch.from_arrays([pa.array([part.astype("<f4").tobytes()]), pa.array([int(y[d])], pa.int64())], ["features", "y"])
+                    for k in range(cut[d], cut[d + 1], TRAINING_LINES):
+                        own = real[k : min(k + TRAINING_LINES, cut[d + 1])]
+                        yield pa.RecordBatch.from_arrays([pa.array([x.features[own].astype("<f4").tobytes()]), pa.array([y[own].astype(np.int8).tobytes()])], ["features", "y"])
 
-    got = kinds[0].unionByName(kinds[1]).mapInArrow(run, "features binary, y long").toArrow()
+    got = kinds[0].unionByName(kinds[1]).mapInArrow(run, "features binary, y binary").toArrow()
     rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
     k = len(FEATURES)
-    if {y for _, y in rows} != {0, 1}:
-        return Crf(np.zeros(k), np.ones(k), np.stack([np.zeros(k), np.eye(k)[0]], axis=1), np.zeros((2, 2)))
+    y = np.frombuffer(b"".join(y for _, y in rows), np.int8)
+    if len(set(y.tolist())) < 2:
+        return Crf(np.zeros(k), np.ones(k), np.stack([np.zeros(k), np.eye(k)[0]], axis=1), np.zeros((2, 2)), recurring)
     each = [np.frombuffer(f, "<f4").reshape(-1, k) for f, _ in rows]
-    sizes = [len(f) for f in each]
-    return fit(np.concatenate(each).astype(np.float64), np.repeat(np.arange(len(rows)), sizes), np.repeat([y for _, y in rows], sizes))
+    crf = fit(np.concatenate(each).astype(np.float64), np.repeat(np.arange(len(rows)), [len(f) for f in each]), y.astype(np.int64))
+    crf.recurring = recurring
+    return crf
 
 
 #: Columns that label() adds, in order.
@@ -268,17 +323,19 @@ def label(docs: DataFrame, crf: Crf, names: list[str] | None = None, content: fl
     share of words in content lines, 0 without words. base_failed: under ``min_words`` words, or over ``most_repeated``
     of them in repeated windows; kept: not base_failed, and a content_share of at least ``content``. Null texts are
     empty (one line without words, base_failed). Each row is judged for itself, so repeated rows and null ids stay as
-    they are. No row leaves its partition.
+    they are. No row leaves its partition. Columns of docs that have a new one's name (in any case) are replaced.
     """
     names = names or [n for n, _ in RESULTS]
     at = docs.columns.index("text")
-    kept = [i for i, c in enumerate(docs.columns) if not (drop_text and i == at) and c not in names]
+    kept = [i for i, c in enumerate(docs.columns) if not (drop_text and i == at) and not any(same_name(c, n) for n in names)]
+    shared = docs.sparkSession.sparkContext.broadcast(crf)
     schema = T.StructType([*[docs.schema.fields[i] for i in kept], *[T.StructField(n, T.DataType.fromDDL(t)) for n, (_, t) in zip(names, RESULTS, strict=True)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch, at):
-                x = lines_of(b.column(at))
+                crf = shared.value
+                x = lines_of(b.column(at), crf.recurring)
                 y = crf.viterbi(x.features, x.doc)
                 share = np.bincount(x.doc, y * x.words, b.num_rows) / np.maximum(x.n_words, 1)
                 failed = (x.n_words < min_words) | (x.n_repeat_words > most_repeated * x.n_words)

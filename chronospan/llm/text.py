@@ -25,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; only where that is unset (tests), below a local temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder below ``spark.checkpoint.dir``, which all executors reach. Where it is unset, only a local session may go on, with a
+    temporary folder; on a cluster every executor would write to its own disk, so it raises."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        context_dir = spark.sparkContext.getCheckpointDir()
-        root = context_dir or f"{tempfile.gettempdir()}/spark-shared"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"{tempfile.gettempdir()}/spark-shared"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -40,6 +42,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def same_name(a: str, b: str) -> bool:
+    """Whether Spark takes two column names for one."""
+    return a.lower() == b.lower()
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df does not have yet (Spark compares names without case)."""
     taken, name = {c.lower() for c in df.columns}, base

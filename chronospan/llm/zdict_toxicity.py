@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .samples import draw, texts_of
-from .text import blocks, split_words
+from .text import blocks, same_name, split_words
 
 CARRIER = bytes(range(128, 152))
 ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 4 << 10
@@ -182,7 +182,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score", drop_text: bool =
     that; each row is scored for itself from its text alone. No row leaves its partition."""
     model_ = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    kept = [i for i, c in enumerate(docs.columns) if not (drop_text and i == at) and c != name]
+    kept = [i for i, c in enumerate(docs.columns) if not (drop_text and i == at) and not same_name(c, name)]
     schema = T.StructType([*[docs.schema.fields[i] for i in kept], T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
