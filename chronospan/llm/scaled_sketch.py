@@ -5,6 +5,10 @@ therefore merge by union, and the share of one sketch found in another estimates
 contains, even where one is a thousand times longer. A text with shingles of which none is below the threshold
 keeps its smallest hash, so only empty texts have an empty sketch; merging stays a union (the smallest of the union
 is among the two).
+
+Of a short text the threshold leaves a handful of hashes, which is no estimate. So while two texts are compared, all their
+hashes are at hand, and if either has fewer than SHORT of them, the likeness is exact; else it comes from the
+sketches, with a standard error of at most sqrt(p (1 - p) / (SHORT * SHARE)), that is 0.0625.
 """
 
 from __future__ import annotations
@@ -12,8 +16,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,25 +28,32 @@ from .text import blocks, shingles, split_words
 SHINGLE = 5
 #: Share of the hash range that is kept.
 SHARE = 1 / 8
+#: Below so many distinct shingles of either text, a comparison takes all of them.
+SHORT = 512
+#: Bytes of text of a range of ids.
+RANGE_BYTES = 64 << 20
 
 
-def sketches(texts: pa.Array, shingle: int = SHINGLE, share: float = SHARE) -> list[np.ndarray]:
-    """Sorted distinct hashes that each text keeps. Words as they are; a text of fewer words than a shingle is one shingle."""
+def all_hashes(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text. Words as they are; a text of fewer words than a shingle is one shingle."""
     w = split_words(texts)
     runs, rows = shingles(w, w.hashes(), shingle)
-    low = runs < np.uint64(int(share * 2.0**64))
-    kept, kept_rows = runs[low], rows[low]
-    order = np.lexsort((kept, kept_rows))
-    kept, kept_rows = kept[order], kept_rows[order]
-    if len(kept):
-        new = np.concatenate([[True], (kept[1:] != kept[:-1]) | (kept_rows[1:] != kept_rows[:-1])])
-        kept, kept_rows = kept[new], kept_rows[new]
-    cut = np.searchsorted(kept_rows, np.arange(w.n_docs + 1))
-    out = [kept[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    all_cut = np.searchsorted(rows, np.arange(w.n_docs + 1))
-    for d in np.flatnonzero((cut[1:] == cut[:-1]) & (all_cut[1:] > all_cut[:-1])):
-        out[d] = runs[all_cut[d] : all_cut[d + 1]].min(keepdims=True)
-    return out
+    order = np.lexsort((runs, rows))
+    runs, rows = runs[order], rows[order]
+    new = np.ones(len(runs), bool)
+    new[1:] = (runs[1:] != runs[:-1]) | (rows[1:] != rows[:-1])
+    runs, rows = runs[new], rows[new]
+    return np.split(runs, np.searchsorted(rows, np.arange(1, w.n_docs))) if w.n_docs else []
+
+
+def sketch(hashes: np.ndarray, share: float = SHARE) -> np.ndarray:
+    """What the sketch keeps of sorted hashes: those below the threshold, or the smallest."""
+    return hashes[: max(1, int(np.searchsorted(hashes, np.uint64(int(share * 2.0**64) - 1), "right")))]
+
+
+def sketches(texts: pa.Array, shingle: int = SHINGLE, share: float = SHARE) -> list[np.ndarray]:
+    """The sketch of each text."""
+    return [sketch(h, share) for h in all_hashes(texts, shingle)]
 
 
 def merge(a: np.ndarray, b: np.ndarray, share: float = SHARE) -> np.ndarray:
@@ -56,9 +69,11 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Containment of the smaller sketch in the larger; of an empty one 1 in an empty one and 0 in others."""
+    """Containment of the smaller of two texts (all their hashes) in the larger, from their sketches or, for short ones, exact; of an empty one 1 in an empty one and 0 in others."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    if min(len(a), len(b)) >= SHORT:
+        a, b = sketch(a), sketch(b)
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
 
 
@@ -85,54 +100,77 @@ def fingerprint(docs: DataFrame, name: str = "fingerprint") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _bounds(ids: DataFrame, n: int) -> list[int]:
-    """At most n - 1 ids that cut the ids into about equal ranges."""
-    found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    return sorted(set(found or []))
+def _ranges(docs: DataFrame, n: int, n_ids: int, n_rows: int) -> tuple[DataFrame, int]:
+    """docs (doc_id, h, ...) with ``range``, 0, 1, ... in the order of falling ids, null last, and the number of ranges.
+
+    Ids are cut at quantiles. An id that makes up several quantiles gets as many ranges, split by h; so do null ids.
+    """
+    for_null = max(1, round(n * (n_rows - n_ids) / n_rows)) if n_ids < n_rows else 0
+    for_ids = max(1, n - for_null)
+    found = docs.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / for_ids for i in range(1, for_ids)], 10_000)).first()[0] if for_ids > 1 else None
+    bounds, counts = np.unique(np.array(found or [], np.int64), return_counts=True)
+    # Range k (of falling ids) ends with the rows of bound k, which have ranges of their own where it is hot.
+    parts = np.where(counts > 1, counts, 0)[::-1]
+    offset = np.concatenate([[0], np.cumsum(1 + parts)])
+    shared = docs.sparkSession.sparkContext.broadcast((bounds, parts, offset))
+
+    @F.pandas_udf("long")
+    def of(ids: pd.Series, h: pd.Series) -> pd.Series:
+        asc, parts, offset = shared.value
+        ids_, unit = ids.fillna(0).to_numpy(np.int64), h.to_numpy(np.int64) / 2.0**64 + 0.5
+        k = len(asc) - np.searchsorted(asc, ids_, "right")
+        out = offset[k]
+        if len(asc):
+            at = np.minimum(k, len(asc) - 1)
+            hot = (k < len(asc)) & (asc[::-1][at] == ids_) & (parts[at] > 0)
+            out = out + np.where(hot, 1 + np.minimum(parts[at] - 1, (unit * parts[at]).astype(np.int64)), 0)
+        null = ids.isna().to_numpy()
+        return pd.Series(np.where(null, offset[-1] + 1 + np.minimum(for_null - 1, (unit * for_null).astype(np.int64)), out))
+
+    return docs.withColumn("range", of("doc_id", "h")), int(offset[-1]) + 1 + for_null
+
+
+def _partition_keys(spark: SparkSession, n: int) -> DataFrame:
+    """(range, key): for each of n ranges a number that hash partitioning into n parts sends to the part of the range's number."""
+    hashed = spark.range(n * (20 + 2 * n.bit_length())).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("part"))
+    return hashed.groupBy(F.col("part").cast("long").alias("range")).agg(F.min("id").alias("key"))
 
 
 def with_next(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
     """doc_id, text and next_text: the text of the document that follows in descending order of doc_id; of the last one, the first.
 
-    Ids are cut into ranges at quantiles. Every text goes once through the shuffle, to its range; the first document
-    of each range also goes to the range before as a guest at its end. Within a range, rows stream in order past the
-    task, which holds two texts at a time. Null ids come last; rows with equal ids follow in the order of their
-    texts. Null texts are empty.
+    Rows are cut into ranges of about RANGE_BYTES of text, one to a partition. Every text goes once through the shuffle, to
+    its range; the first document of each range also goes to the range before, as a guest at its end. Within a range,
+    rows stream in order past the task. Null ids come last; rows with equal ids, and those with null ids, follow by a
+    hash of their texts and then the texts, so that many of them are split, too. Null texts are empty.
     """
     spark = docs.sparkSession
-    n = n_ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = spark.sparkContext.broadcast(np.array(_bounds(docs.select("doc_id").where("doc_id is not null"), n), np.int64))
-
-    @F.pandas_udf("int")
-    def range_of(ids):
-        # Descending: range 0 holds the largest ids, null ids are in the range after the last.
-        found = len(bounds.value) - np.searchsorted(bounds.value, ids.fillna(0).to_numpy(np.int64), "right")
-        return ids.where(ids.isna(), found).fillna(len(bounds.value) + 1).astype("int32")
-
-    ranged = docs.withColumn("range", range_of("doc_id"))
-    # One row per range: its first document is the largest id, and of equal ids the first text. Ids alone are read here.
-    heads = sorted((r["range"], r["head"]) for r in docs.select("doc_id").withColumn("range", range_of("doc_id")).groupBy("range").agg(F.max("doc_id").alias("head")).collect())
-    if not heads:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("rows"), F.count("doc_id").alias("ids")).first()
+    if not size["rows"]:
         return spark.createDataFrame([], "doc_id long, text string, next_text string")
-    host = [(head, here, heads[k - 1][0]) for k, (here, head) in enumerate(heads)]
-    hosts = spark.createDataFrame(host, "head long, head_range int, host int")
-    guests = ranged.join(F.broadcast(hosts), (F.col("range") == F.col("head_range")) & F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("host").alias("range"), F.lit(1).alias("guest"))
-    rows = ranged.withColumn("guest", F.lit(0)).unionByName(guests)
-    ordered = rows.repartition(n, "range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), "text")
+    n = n_ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // RANGE_BYTES))
+    ranged, n = _ranges(docs, n, size["ids"], size["rows"])
+    # The first row of each range: one row per range comes to the driver, without texts.
+    place = F.struct(F.col("doc_id").isNull().alias("null"), (-F.col("doc_id")).alias("id"), "h")
+    heads = sorted((r["range"], -r["p"]["id"] if r["p"]["id"] is not None else None, r["p"]["h"]) for r in ranged.groupBy("range").agg(F.min(place).alias("p")).collect())
+    hosts = spark.createDataFrame([(here, head, h, heads[k - 1][0]) for k, (here, head, h) in enumerate(heads)], "at long, head long, head_h long, host long")
+    guests = ranged.join(F.broadcast(hosts), (F.col("range") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h")))
+    rows = ranged.withColumn("guest", F.lit(0)).unionByName(guests.select("doc_id", "text", "h", F.col("host").alias("range"), F.lit(1).alias("guest")))
+    placed = rows.join(F.broadcast(_partition_keys(spark, n)), "range").repartition(n, "key")
+    ordered = placed.sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), "h", "text").select("doc_id", "text", "range", "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             for b in blocks(batch, "text"):
-                out = []
-                for here in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    i, text, r, guest = here
-                    if held is not None and held[2] == r:
-                        out.append((held[0], held[1], text))
-                    # The first guest alone follows the range's last document.
-                    held = None if guest else (i, text, r)
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["doc_id", "text", "next_text"])
+                both = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+                here, following = both.slice(0, both.num_rows - 1), both.slice(1)
+                # The first guest alone follows the range's last document.
+                keep = pc.and_(pc.equal(here["range"], following["range"]), pc.equal(here["guest"], 0))
+                out = pa.table([here["doc_id"], here["text"], following["text"]], ["doc_id", "text", "next_text"]).filter(keep)
+                yield from out.combine_chunks().to_batches()
+                held = both.slice(both.num_rows - 1).combine_chunks().to_batches()[0]
 
     return ordered.mapInArrow(run, "doc_id long, text string, next_text string")
 
@@ -141,7 +179,7 @@ def compare_edited(pairs: DataFrame) -> DataFrame:
     """From (doc_id, text, next_text): doc_id, n_chars, edited (the edited text), fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all)
-    of the next one. near_edited and near_next are the likeness of the text's fingerprint to those two.
+    of the next one. near_edited and near_next are the likeness of the text to those two (see likeness()).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +188,9 @@ def compare_edited(pairs: DataFrame) -> DataFrame:
                 text, following = b.column(1).to_pylist(), b.column(2).to_pylist()
                 half = [len(t) // 2 for t in text]
                 edited = [t[: len(t) - h] + f[:h] for t, f, h in zip(text, following, half, strict=True)]
-                own, other, after = (sketches(pa.array(x, pa.string())) for x in (text, edited, following))
+                own, other, after = (all_hashes(pa.array(x, pa.string())) for x in (text, edited, following))
                 columns = [
-                    b.column(0), pa.array([len(t) for t in text], pa.int64()), pa.array(edited, pa.string()), pa.array(map(to_hex, own), pa.string()), pa.array(map(to_hex, other), pa.string()),
+                    b.column(0), pa.array([len(t) for t in text], pa.int64()), pa.array(edited, pa.string()), pa.array([to_hex(sketch(x)) for x in own], pa.string()), pa.array([to_hex(sketch(x)) for x in other], pa.string()),
                     pa.array(map(likeness, own, other), pa.float64()), pa.array(map(likeness, own, after), pa.float64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])

@@ -14,8 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import fresh
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Hex digits of the digest that the join goes by.
@@ -45,10 +43,10 @@ def match_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]], key: st
     they are; other columns are not looked at. No rules: every row gets ``otherwise``.
     """
     spark = pages.sparkSession
-    row = fresh(pages, "_row")
-    base = pages.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias(row), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    base = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"))
+    split = [host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")]
     if not rules:
-        return base.select(F.col("key").alias(key), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
+        return base.select(F.col("key").alias(key), *split, F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
     listed = spark.createDataFrame([tuple(r) for r in rules], "action string, rule_host string, rule_path string").select(
         "action", F.concat("rule_host", "rule_path").alias("rule"), _digest(F.concat_ws("\x00", "rule_host", "rule_path")).alias("full")
     ).withColumn("short", F.substring("full", 1, PREFIX_DIGITS))
@@ -60,11 +58,12 @@ def match_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]], key: st
     lengths = sorted({len(p) for _, _, p in rules})
     paths = [F.when(F.char_length("path") >= n, F.substring("path", 1, n)) for n in lengths]
 
+    # Each distinct URL is judged once, so that the verdicts meet their rows by the URL itself: a third of all rows may have the same.
     # All expressions of a URL stay in one row of at most (label counts x lengths) entries until the join.
-    expanded = base.withColumn("_h", F.explode(F.array_compact(F.array(*hosts)))).withColumn("_p", F.explode(F.array_compact(F.array(*paths))))
-    expressions = expanded.select(row, _digest(F.concat_ws("\x00", "_h", "_p")).alias("asked"))
+    expanded = base.select("url").distinct().select("url", *split).withColumn("_h", F.explode(F.array_compact(F.array(*hosts)))).withColumn("_p", F.explode(F.array_compact(F.array(*paths))))
+    expressions = expanded.select("url", _digest(F.concat_ws("\x00", "_h", "_p")).alias("asked"))
     expressions = expressions.withColumn("short", F.substring("asked", 1, PREFIX_DIGITS))
     fits = expressions.join(F.broadcast(listed), "short").where(F.col("asked") == F.col("full"))
     # One row per URL and rule at most; the best is found by a partial aggregate on each side of the shuffle.
-    best = fits.groupBy(row).agg(F.max(F.struct(F.char_length("rule").alias("n"), (F.col("action") == "block").alias("b"), F.col("rule").alias("rule"), F.col("action").alias("action"))).alias("best"))
-    return base.join(best, row, "left").select(F.col("key").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.action"), F.lit(otherwise)).alias("verdict"))
+    best = fits.groupBy("url").agg(F.max(F.struct(F.char_length("rule").alias("n"), (F.col("action") == "block").alias("b"), F.col("rule").alias("rule"), F.col("action").alias("action"))).alias("best"))
+    return base.join(best, "url", "left").select(F.col("key").alias(key), *split, F.col("best.rule").alias("rule"), F.coalesce(F.col("best.action"), F.lit(otherwise)).alias("verdict"))

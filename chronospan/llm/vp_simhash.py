@@ -277,19 +277,30 @@ def hex_fingerprint(fp: Column | str) -> Column:
 
 
 def keep_one(docs: DataFrame, r: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of docs of which one per component stays: that with the smallest doc_id, and one alone if that repeats.
+    """The rows of docs of which one per component of fingerprints stays (see keep_lowest())."""
+    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    marked = written(fingerprints(known.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("t"), "text"), "fp", shingle, drop_text=True), "fingerprints")
+    found = marked.select("fp").distinct()
+    roots = connected(written(shard_links(found, r), "links"), "fp", "low").withColumnRenamed("node", "fp")
+    return keep_lowest(docs, marked.join(found.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component")), "fp").select("key", "t", "component"))
 
-    Documents with a null doc_id are told apart by nothing, so each of them stays. Only keys move: rows of the
-    documents themselves are met by their key once.
-    """
-    low = near_duplicates(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), r, shingle)
-    return keep_keys(docs, low.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct())
 
+def keep_lowest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs of which one per group stays: that with the smallest doc_id, of equal ids the smallest hash of the text.
 
-def keep_keys(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept (distinct, column ``_kept``), one per doc_id, and all with a null doc_id."""
-    n = fresh(docs, "_n")
-    found = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    # doc_id is a key of documents, so this window has one row per group but for repeated rows.
-    one = found.withColumn(n, F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col(n) == 1).drop(n)
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    found: key, t (hash of the text), component of each row. Rows of one doc_id with unrelated texts are in groups of
+    their own, so each of them stays; of rows equal in both, one alone does. Documents with a null doc_id are told apart by nothing, so
+    each of them stays. The keys that go are looked up, fewer than those that stay, so that Spark can send them to the
+    texts where they are few enough; only rows that are there more than once meet in a window.
+    """
+    t, n = fresh(docs, "_t"), fresh(docs, "_n")
+    rows = written(found.groupBy("component", "key", "t").agg(F.count("*").alias("k")), "members")
+    low = rows.groupBy("component").agg(F.min(F.struct("key", "t")).alias("low"))
+    judged = written(rows.join(low, "component").select("key", F.col("t").alias("th"), "k", (F.struct("key", "t") == F.col("low")).alias("stays")), "judged")
+    gone, repeated = judged.where("not stays").select("key", "th"), judged.where("stays and k > 1").select("key", "th")
+    marked = docs.where(F.col("doc_id").isNotNull()).withColumn(t, F.xxhash64("text"))
+    on = lambda other: (marked["doc_id"] == other["key"]) & (marked[t] == other["th"])
+    apart = gone.unionByName(repeated)
+    single = marked.join(apart, on(apart), "left_anti")
+    several = marked.join(repeated, on(repeated), "left_semi").withColumn(n, F.row_number().over(W.partitionBy("doc_id", t).orderBy(t))).where(F.col(n) == 1).drop(n)
+    return single.unionByName(several).drop(t).unionByName(docs.where(F.col("doc_id").isNull()))
