@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -81,9 +82,14 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.n_docs).astype(np.int64)
 
+    @cached_property
+    def entries(self) -> list[bytes]:
+        """The vocabulary as bytes."""
+        return self.vocab.cast(pa.binary()).to_pylist()
+
     def hashes(self, seed: int = 0) -> np.ndarray:
         """64-bit hash of each entry of the vocabulary."""
-        return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.vocab.cast(pa.binary()).to_pylist()), np.uint64, len(self.vocab))
+        return np.frombuffer(b"".join([xxhash.xxh3_64_digest(w, seed) for w in self.entries]), ">u8").astype(np.uint64)
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> Words:
