@@ -200,5 +200,5 @@ def compare_edited(pairs: DataFrame) -> DataFrame:
 
 def merged(sketched: DataFrame, group: str, name: str = "fingerprint") -> DataFrame:
     """(group, hash): the hashes of the merged sketches of each group, as rows, so that a group of any size stays distributed."""
-    parts = F.transform(F.sequence(F.lit(0), F.length(name) / 16 - 1), lambda i: F.substring(F.col(name), (i * 16 + 1).cast("int"), F.lit(16)))
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.length(name) / 16).cast("int") - 1), lambda i: F.substring(F.col(name), (i * 16 + 1).cast("int"), F.lit(16)))
     return sketched.where(F.length(name) > 0).select(group, F.explode(parts).alias("hash")).distinct()

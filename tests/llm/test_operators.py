@@ -1,6 +1,5 @@
 """Text operators against brute force, exact round trips and edge cases (nulls, empty and repeated rows, clashing columns)."""
 
-import hashlib
 import random
 
 import numpy as np
@@ -8,7 +7,6 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
-from pyspark.sql import functions as F
 
 from chronospan.llm import bpe_prefix, kneser_ney, license_scan, line_crf, mixing, scaled_sketch, url_rules, vp_simhash, zdict_toxicity
 from chronospan.llm.queries import URL_RULES, tokenizer
@@ -165,11 +163,8 @@ def test_kneser_ney(spark, docs):
 
     n, p = model.score(pa.array(["the mat today", "", "zz qq zz"]))
     assert n.tolist() == [3, 0, 3] and (p < 0).all() and p[0] > p[2]
-    # Probabilities of all continuations of a context add up to 1 (known words, the end and one unknown word).
-    words = sorted({w for t in TEXTS if t for w in t.split()}) + ["unknown-word"]
-    _, prefix = model.score(pa.array(["the cat"]))
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert kneser_ney.keep_good(docs, labels).count() == len(TEXTS) and len(words) > 5 and prefix[0] < 0
+    assert kneser_ney.keep_good(docs, labels).count() == len(TEXTS)
 
 
 def test_licenses(spark, docs):
@@ -191,4 +186,3 @@ def test_toxicity():
         return 1 / (1 + np.exp(-x @ np.array(model.logistic)))[0]
 
     assert np.mean([score(text(0.06)) >= 0.7 for _ in range(40)]) > 0.9 and np.mean([score(text(0)) >= 0.7 for _ in range(40)]) < 0.1
-    assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0" and F is not None
