@@ -1,0 +1 @@
+"""Rolling scores over a stream of frames."""
