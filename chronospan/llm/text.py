@@ -36,13 +36,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once to the shared folder and read back: lineage ends here and lost executors cost nothing."""
-    path = shared_folder(df.sparkSession, name)
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """The rows of df, written once to the shared folder (or to path) and read back: lineage ends here and lost executors cost nothing."""
+    path = path or shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of written() that nothing will read again."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def same_name(a: str, b: str) -> bool:
     """Whether Spark takes two column names for one."""
     return a.lower() == b.lower()

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import blocks, fresh, written
+from .text import blocks, discard, fresh, shared_folder, written
 
 #: Fingerprints that the tree of shards is fitted on, at most (8 bytes each).
 SAMPLE = 1 << 20
@@ -237,18 +237,23 @@ def connected(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     jumps to its root's root; the number of rounds grows with the logarithm of the longest chain. Joins are plain
     equi-joins, so a node with very many links is split by skew joins, and aggregates combine before the shuffle.
     """
-    edges = written(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct(), "edges")
-    labels = written(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).withColumnRenamed("x", "node"), "labels")
+    spark = links.sparkSession
+    at_edges, at = shared_folder(spark, "edges"), shared_folder(spark, "labels")
+    edges = written(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct(), "edges", at_edges)
+    labels = written(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).withColumnRenamed("x", "node"), "labels", at)
     for _ in range(rounds):
         seen = edges.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("root").alias("seen")).withColumnRenamed("x", "node")
         told = labels.join(seen, "node").select("node", "root", F.least("root", "seen").alias("low"))
         # The smallest root that a node has heard of goes to the node and to its old root.
         offers = told.select("node", "low").unionByName(told.select(F.col("root").alias("node"), "low")).groupBy("node").agg(F.min("low").alias("low"))
         jump = offers.alias("o").join(offers.select(F.col("node").alias("low"), F.col("low").alias("up")).alias("u"), "low", "left")
-        new = written(jump.select("node", F.least("low", F.coalesce("up", "low")).alias("root")), "labels")
+        at_new = shared_folder(spark, "labels")
+        new = written(jump.select("node", F.least("low", F.coalesce("up", "low")).alias("root")), "labels", at_new)
         changed = new.join(labels.withColumnRenamed("root", "before"), "node").where("root <> before").limit(1).count()
-        labels = new
+        discard(spark, at)
+        labels, at = new, at_new
         if not changed:
+            discard(spark, at_edges)
             return labels
     raise RuntimeError("components did not settle")
 
