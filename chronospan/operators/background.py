@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,27 +57,45 @@ def residuals(rows: np.ndarray, mean: np.ndarray, basis: np.ndarray) -> np.ndarr
     return x - (filled @ basis.T) @ basis
 
 
-def _moments(frames: DataFrame, by: list[str], features: str, quiet: str | None) -> DataFrame:
-    """by, n, sums (per pixel), products (upper triangle of the cross products) of the quiet, complete rows, by partial aggregates.
+def _complete(frames: DataFrame, by: list[str], features: str, quiet: str | None) -> DataFrame:
+    """by and x (array of doubles) of the quiet rows without a gap."""
+    x = F.col(features)
+    whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    return frames.where(whole & (F.col(quiet) if quiet else F.lit(True))).select(*by, x.cast("array<double>").alias("x"))
+
+
+def _means(rows: DataFrame, by: list[str], center: bool) -> DataFrame:
+    """by, n and mean (zeros without centring) of the rows of _complete()."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    found = rows.groupBy(*by).agg(F.count("*").alias("n"), vector_to_array(Summarizer.mean(array_to_vector(F.col("x")))).alias("mean"))
+    return found if center else found.withColumn("mean", F.transform("mean", lambda v: F.lit(0.0)))
+
 
-    No group is held by a task: a row contributes D + D (D + 1) / 2 numbers to sums that combine before the shuffle.
+def _moments(frames: DataFrame, by: list[str], features: str, quiet: str | None, center: bool = True) -> DataFrame:
+    """by, n, mean, sums and products (upper triangle of the cross products) of the quiet, complete rows less their mean, by partial aggregates.
+
+    No group is held by a task: a row contributes D + D (D + 1) / 2 numbers to sums that combine before the shuffle. The mean goes off
+    first, as sums of squares less squares of sums would lose what is small beside it.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    x = F.col(features)
-    whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    rows = frames.where(whole & (F.col(quiet) if quiet else F.lit(True))).select(*by, x.cast("array<double>").alias("x"))
+    rows = _complete(frames, by, features, quiet)
+    means = _means(rows, by, center)
+    rows = rows.join(means.drop("n"), by).withColumn("x", F.zip_with("x", "mean", lambda v, m: v - m))
     upper = F.flatten(F.transform("x", lambda v, i: F.transform(F.slice("x", i + 1, F.size("x") - i), lambda u: v * u)))
     rows = rows.select(*by, array_to_vector("x").alias("_v"), array_to_vector(upper).alias("_p"))
-    found = rows.groupBy(*by).agg(F.count("*").alias("n"), Summarizer.sum(F.col("_v")).alias("sums"), Summarizer.sum(F.col("_p")).alias("products"))
-    return found.select(*by, "n", vector_to_array("sums").alias("sums"), vector_to_array("products").alias("products"))
+    found = rows.groupBy(*by).agg(Summarizer.sum(F.col("_v")).alias("sums"), Summarizer.sum(F.col("_p")).alias("products"))
+    return found.select(*by, vector_to_array("sums").alias("sums"), vector_to_array("products").alias("products")).join(means, by)
 
 
-def fit_groups(frames: DataFrame, by: list[str], k: int, features: str = "features", quiet: str | None = "quiet") -> DataFrame:
+def fit_groups(frames: DataFrame, by: list[str], k: int, features: str = "features", quiet: str | None = "quiet", center: bool = True) -> DataFrame:
     """by, n, mean, basis (array of at most k arrays), singular (all singular values): the PCA of each group's quiet, complete rows.
 
-    For groups of any number of rows and up to some hundred features: per group, one D x D matrix is decomposed.
+    For groups of any number of rows and up to some hundred features: per group, one D x D matrix is decomposed. Components whose
+    eigenvalue is below 1e-12 of the largest are none. Without centring the mean is 0.
     """
     types = dict(frames.dtypes)
 
@@ -84,20 +103,19 @@ def fit_groups(frames: DataFrame, by: list[str], k: int, features: str = "featur
         for pdf in batches:
             out = []
             for n, sums, products in zip(pdf["n"], pdf["sums"], pdf["products"], strict=True):
-                mean = np.asarray(sums) / n
-                d = len(mean)
+                rest = np.asarray(sums) / n if center else np.zeros(len(sums))
+                d = len(rest)
                 m = np.zeros((d, d))
                 m[np.triu_indices(d)] = products
-                m = m + np.triu(m, 1).T - n * np.outer(mean, mean)
+                m = m + np.triu(m, 1).T - n * np.outer(rest, rest)
                 values, vectors = np.linalg.eigh(m)
                 values, vectors = values[::-1], vectors[:, ::-1]
-                real = values > max(1e-12 * max(values[0], 0.0), 1e-12 * abs(np.asarray(products)).max(initial=0.0), 0)
-                rank = int(min(real.sum(), n - 1))
-                out.append((mean, vectors[:, : min(k, rank)].T, np.sqrt(values[:rank])))
-            yield pd.DataFrame({c: pdf[c] for c in (*by, "n")} | {"mean": [o[0].tolist() for o in out], "basis": [o[1].tolist() for o in out], "singular": [o[2].tolist() for o in out]})
+                rank = int(min((values > max(1e-12 * values[0], 0)).sum(), n - center))
+                out.append((vectors[:, : min(k, rank)].T, np.sqrt(values[:rank])))
+            yield pd.DataFrame({c: pdf[c] for c in (*by, "n", "mean")} | {"basis": [o[0].tolist() for o in out], "singular": [o[1].tolist() for o in out]})
 
     schema = ", ".join(f"`{c}` {types[c]}" for c in by) + ", n long, mean array<double>, basis array<array<double>>, singular array<double>"
-    return _moments(frames, by, features, quiet).mapInPandas(run, schema)
+    return _moments(frames, by, features, quiet, center).select(*by, "n", "mean", "sums", "products").mapInPandas(run, schema)
 
 
 def residual_arrays(frames: DataFrame, fitted: DataFrame, by: list[str], features: str = "features", out: str = "residual") -> DataFrame:
@@ -131,6 +149,24 @@ def outlier_scores(residual: DataFrame, keys: list[str], size: int, value: str =
     return metrics.score(rows, keys, value, size, method, min_finite_frac=min_finite_frac, normalize_missing=normalize_missing, **options)
 
 
+def array_outlier_scores(residual: DataFrame, keys: list[str], value: str = "residual", positive_only: bool = True, method: str = "topk_sum", min_finite_frac: float = 0.7, normalize_missing: bool = True, **options) -> DataFrame:
+    """keys, n_finite, score as outlier_scores() gives them, of residuals in arrays (one per row, as residual_arrays() makes them): scored where they are."""
+    options |= {"min_finite_frac": min_finite_frac, "normalize_missing": normalize_missing}
+    metrics.check(method, **options)
+    types = dict(residual.dtypes)
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 64):  # few rows at a time, as they may be wide
+                part = b.slice(k, 64)
+                x = part.column(len(keys)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                x = x.reshape(part.num_rows, -1)
+                x = np.maximum(x, 0.0) if positive_only else x
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], pa.array(np.isfinite(x).sum(axis=1)), pa.array(metrics.array_scores(x, method, **options), from_pandas=True)], [*keys, "n_finite", "score"])
+
+    return residual.select(*keys, value).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keys) + ", n_finite long, score double")
+
+
 def singular_values(frames: DataFrame, by: list[str], k: int, features: str = "features") -> DataFrame:
     """by, i, value: the largest k singular values of each group's centred complete rows."""
     found = fit_groups(frames, by, 0, features, None).select(*by, F.posexplode(F.slice("singular", 1, k)).alias("i", "value"))

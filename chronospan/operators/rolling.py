@@ -64,6 +64,7 @@ class RollingConfig:
     method: str = "topk_sum"
     score_options: dict = field(default_factory=lambda: {"min_finite_frac": 0.7, "normalize_missing": True})
     positive_only: bool = True
+    center: bool = True
     ring_capacity: int | None = None
     runner_mask: FreqMask | None = None
     selector_mask: FreqMask | None = None
@@ -108,65 +109,81 @@ def n_steps(start_us: int, stop_us: int, stride_us: int) -> int:
     return max(0, -(-(stop_us - -(-start_us // HOUR) * HOUR) // stride_us))
 
 
+def place(frames: DataFrame, first: int, n_blocks: int, c: RollingConfig, ts: str = "_t") -> DataFrame:
+    """frames with a row for each block of windows (_block) of which one holds or scores them, in closed form."""
+    span, half, t = c.block * c.stride_us, c.context_us // 2, F.col(ts) - first
+    lo = F.greatest(F.lit(0), F.ceil((t - (span - c.stride_us) - max(half, c.score_us)) / span))
+    hi = F.least(F.lit(n_blocks - 1), F.floor((t + half) / span))
+    return frames.withColumn("_lo", lo.cast("long")).withColumn("_hi", hi.cast("long")).where("_lo <= _hi").withColumn("_block", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+
+
 #: What became of a window.
 SCORED, NOT_FIRED, EMPTY_CONTEXT, ALL_IN_GAP, NO_QUIET, NOTHING_TO_SCORE = "scored", "not_fired", "empty_context", "all_in_gap", "no_quiet", "nothing_to_score"
 
 
-def _window(t: np.ndarray, ids: np.ndarray, x: np.ndarray, quiet: np.ndarray, h: int, last: int, c: RollingConfig) -> tuple:
-    """(status, n_context, n_quiet, scored frames, their scores) of the window at h; frames are in time order."""
-    none = np.empty(0, np.int64), np.empty(0)
-    half = c.context_us // 2
+def choose(t: np.ndarray, ids: np.ndarray, quiet: np.ndarray, whole: np.ndarray, h: int, last: int, c: RollingConfig) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """(status, held frames, those it fits, those it scores) of the window at h, as places; frames are in time order, whole are those without a gap."""
+    none, half = np.empty(0, np.int64), c.context_us // 2
     if last < h + half:
-        return NOT_FIRED, 0, 0, *none
+        return NOT_FIRED, none, none, none
     held = np.flatnonzero((t >= h - half) & (t < h + half))
     if c.ring_capacity is not None:
         before = int(np.searchsorted(t, h + half))
         held = held[held >= before - (c.ring_capacity - 1)]
     if not len(held):
-        return EMPTY_CONTEXT, 0, 0, *none
+        return EMPTY_CONTEXT, none, none, none
     fit = held
     if c.gap_us > 0:
         fit = held[~((t[held] >= h - c.gap_us // 2) & (t[held] < h + c.score_us + c.gap_us // 2))]
         if not len(fit):
-            return ALL_IN_GAP, len(held), 0, *none
+            return ALL_IN_GAP, held, none, none
     real = fit[np.isfinite(quiet[fit])]
     n = len(real)
     count = max(1, int(np.floor(n * c.quiet_fraction))) if c.n_quiet is None else max(1, min(c.n_quiet, n))
     chosen = real[np.lexsort((ids[real], quiet[real]))][:count]
-    chosen = chosen[np.isfinite(x[chosen]).all(axis=1)]
+    chosen = np.sort(chosen[whole[chosen]])
     if not len(chosen):
-        return NO_QUIET, len(held), 0, *none
+        return NO_QUIET, held, none, none
     scored = held[(t[held] >= h) & (t[held] < h + c.score_us)]
-    if not len(scored):
-        return NOTHING_TO_SCORE, len(held), len(chosen), *none
-    mean, basis, _ = background.pca_basis(x[np.sort(chosen)], c.k)
+    return (SCORED if len(scored) else NOTHING_TO_SCORE), held, chosen, scored
+
+
+def _window(t: np.ndarray, ids: np.ndarray, x: np.ndarray, quiet: np.ndarray, h: int, last: int, c: RollingConfig) -> tuple:
+    """(status, n_context, n_quiet, scored frames, their scores) of the window at h; frames are in time order."""
+    status, held, chosen, scored = choose(t, ids, quiet, np.isfinite(x).all(axis=1), h, last, c)
+    if status != SCORED:
+        return status, len(held), len(chosen), np.empty(0, np.int64), np.empty(0)
+    mean, basis, _ = background.pca_basis(x[chosen], c.k, c.center)
     res = background.residuals(x[scored].astype(np.float64), mean, basis)
     if c.positive_only:
         res = np.maximum(res, 0.0)
     return SCORED, len(held), len(chosen), ids[scored], metrics.array_scores(res, c.method, **c.score_options)
 
 
-def run(frames: DataFrame, start_us: int, stop_us: int, config: RollingConfig, by: list[str], ts: str = "start_us", features: str = "features") -> DataFrame:
+def ranked(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Places by falling score, missing ones first, ties by number."""
+    return np.lexsort((ids, -np.where(np.isfinite(scores), scores, np.inf), ~np.isnan(scores)))
+
+
+def run(frames: DataFrame, start_us: int, stop_us: int, config: RollingConfig, by: list[str], ts: str = "start_us", features: str = "features", last: DataFrame | None = None) -> DataFrame:
     """by, window_us, status, n_context, n_quiet, frame_idx and score (arrays, in time order), rank_idx: one row per planned window of each group.
 
     frames: by, frame_idx, ts, features (array of values, NaN or NULL where missing). Windows of a group are worked on in
     blocks: a frame goes once to each block that needs it, (context + block) / block times in all, and no row per pixel or
     per window and frame is made. A task holds the frames of one block's windows, as 32-bit numbers. rank_idx: places
     in the arrays by falling score, missing ones first. Windows without a row of frames within reach are empty_context.
+    last: by, _last (the time of each group's last frame), where it is known without another pass over the frames.
     """
     first = -(-start_us // HOUR) * HOUR
     count = n_steps(start_us, stop_us, config.stride_us)
-    half, c = config.context_us // 2, config
+    c = config
     span = c.block * c.stride_us
     n_blocks = -(-count // c.block)
     types = dict(frames.dtypes)
     values = c.mask.array(features) if c.mask is not None else F.col(features)
     ready = frames.select(*by, F.col("frame_idx").cast("long").alias("frame_idx"), F.col(ts).cast("long").alias("_t"), values.cast("array<float>").alias("_x"))
-    last = ready.groupBy(*by).agg(F.max("_t").alias("_last"))
-    t = F.col("_t") - first
-    lo = F.greatest(F.lit(0), F.ceil((t - (span - c.stride_us) - max(half, c.score_us)) / span))
-    hi = F.least(F.lit(n_blocks - 1), F.floor((t + half) / span))
-    placed = ready.withColumn("_lo", lo.cast("long")).withColumn("_hi", hi.cast("long")).where("_lo <= _hi").withColumn("_block", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+    last = ready.groupBy(*by).agg(F.max("_t").alias("_last")) if last is None else last.select(*by, "_last")
+    placed = place(ready, first, n_blocks, c)
     placed = placed.join(F.broadcast(last), by) if by else placed.crossJoin(F.broadcast(last))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -179,8 +196,7 @@ def run(frames: DataFrame, start_us: int, stop_us: int, config: RollingConfig, b
         for w in range(b * c.block, min((b + 1) * c.block, count)):
             h = first + w * c.stride_us
             status, n_context, n_quiet, scored, values = _window(at, ids, x, quiet, h, latest, c)
-            rank = np.lexsort((scored, -np.where(np.isfinite(values), values, np.inf), ~np.isnan(values)))
-            out.append((h, status, n_context, n_quiet, scored.tolist(), values.tolist(), rank.tolist()))
+            out.append((h, status, n_context, n_quiet, scored.tolist(), values.tolist(), ranked(scored, values).tolist()))
         done = pd.DataFrame(out, columns=["window_us", "status", "n_context", "n_quiet", "frame_idx", "score", "rank_idx"])
         for k in by:
             done[k] = pdf[k].iloc[0]
@@ -188,6 +204,12 @@ def run(frames: DataFrame, start_us: int, stop_us: int, config: RollingConfig, b
 
     kinds = "".join(f"`{k}` {types[k]}, " for k in by)
     found = placed.groupBy(*by, "_block").applyInPandas(work, kinds + "window_us long, status string, n_context long, n_quiet long, frame_idx array<long>, score array<double>, rank_idx array<long>")
+    return _planned(found, last, first, count, c, by)
+
+
+def _planned(found: DataFrame, last: DataFrame, first: int, count: int, c: RollingConfig, by: list[str]) -> DataFrame:
+    """found and a row for each planned window of each group that has none."""
+    half = c.context_us // 2
     planned = last.withColumn("window_us", F.explode(F.sequence(F.lit(first), F.lit(first + (count - 1) * c.stride_us), F.lit(c.stride_us)))) if count else last.where("false").withColumn("window_us", F.lit(0).cast("long"))
     out = planned.join(found, [*by, "window_us"], "left")
     absent = F.when(F.col("_last") < F.col("window_us") + half, NOT_FIRED).otherwise(EMPTY_CONTEXT)

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import maths, selection
-from ..functions.grid import plan_frames, unix_seconds
-from ..operators import background, frames, metrics, rois, rolling, search, series, terrain
+from ..functions.grid import FramePlan, plan_frames, unix_seconds
+from ..operators import background, cube, frames, metrics, rois, rolling, search, series, terrain
 from ..sources import spectra
 from .pipeline import Pipeline, db_step, stokes_i_step, stokes_iquv_step
 
@@ -358,6 +358,36 @@ def frame_batch(spark, sf_dir):
     return frames.frame_batch(cells(spark, sf_dir), plan(), [5, 0, 5, 357]).select("pos", "frame_idx", "t_idx", "f_idx", r("power", 4).alias("power"))
 
 
+# A cube of three stations with gaps: NaN, infinities, absent rows.
+_CUBE = f"""{_SAMPLES}, {_STATIONS}, cube AS (SELECT station, t_idx, f_idx, {_GAPPY.format(t='t_idx', f='f_idx', x='power')} AS power FROM station_cells WHERE (t_idx // 20) % 5 <> 2),
+place AS (SELECT station, k AS frame_idx, t_idx, (t_idx - 2 * k) * 13 + CASE WHEN f_idx < 3 THEN f_idx ELSE f_idx - 3 END AS place, f_idx, CASE WHEN isnan(power) OR power = '-infinity'::DOUBLE THEN 'nan'::DOUBLE ELSE CAST(10 * log10(greatest(power, 1e-12)) AS FLOAT)::DOUBLE END AS v
+  FROM range(358) AS x(k) JOIN cube ON t_idx >= 2 * k AND t_idx < 2 * k + 6)"""
+
+
+def cube_rows(spark, sf_dir) -> DataFrame:
+    present = station_cells(spark, sf_dir).where(F.floor(F.col("t_idx") / 20) % 5 != 2).withColumn("power", gappy("power"))
+    return cube.pack(present.withColumn("db", maths.safe_db(F.col("power"))), ["station", "t_idx"], "f_idx", "db", NF)
+
+
+@query(f"""WITH {_CUBE} SELECT station, frame_idx, CAST((1704067200 + 7200 * frame_idx) * 1000000 AS BIGINT) AS start_us, count(*) FILTER (f_idx NOT IN (3, 4, 5) AND isfinite(v)) AS n_finite,
+round(coalesce(sum(v) FILTER (f_idx NOT IN (3, 4, 5) AND isfinite(v)), 0), 3) + 0.0 AS total, round(coalesce(sum(v * (place + 1)) FILTER (f_idx NOT IN (3, 4, 5) AND isfinite(v)), 0), 2) + 0.0 AS placed FROM place GROUP BY station, frame_idx""")
+def frame_vectors(spark, sf_dir):
+    """One array of 78 values per frame, told by its sum and by the sum of its values times their places."""
+    found = cube.frame_vectors(cube_rows(spark, sf_dir), plan(), ["station"], NF, mask=KEPT)
+    there = lambda v: F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v.cast("double"))
+    of = lambda f: F.aggregate(F.transform("features", f), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+    n = F.size(F.filter("features", lambda v: there(v).isNotNull())).cast("long")
+    return found.select("station", "frame_idx", "start_us", n.alias("n_finite"), r(of(there), 3).alias("total"), r(of(lambda v, i: there(v) * (i + 1)), 2).alias("placed"))
+
+
+@query(f"""WITH {_CUBE}, fin AS (SELECT station, frame_idx, CASE WHEN f_idx NOT IN (3, 4, 5) AND isfinite(v) THEN v END AS v FROM place), ranked AS (SELECT *, row_number() OVER (PARTITION BY station, frame_idx ORDER BY v DESC NULLS LAST) AS k FROM fin)
+SELECT station, frame_idx, count(v) AS n_finite, round(CASE WHEN count(v) >= 0.3 * 78 AND count(v) >= 8 THEN sum(v) FILTER (k <= 8) * 78 / count(v) END, 4) AS score FROM ranked GROUP BY station, frame_idx""")
+def cube_scores(spark, sf_dir):
+    """Scores of the same frames; their vectors stay in the task that makes them."""
+    found = cube.frame_scores(cube_rows(spark, sf_dir), plan(), ["station"], NF, "topk_sum", mask=KEPT, topk=8, min_finite_frac=0.3, normalize_missing=True)
+    return found.withColumn("score", F.round("score", 4))
+
+
 # ---- windows and backgrounds --------------------------------------------------------------------------------
 
 _H = 3_600_000_000
@@ -412,19 +442,22 @@ def _broken_vectors(spark, sf_dir) -> DataFrame:
     return _vectors(spark, sf_dir).withColumn("features", F.transform("features", gone))
 
 
+def _residual_arrays(spark, sf_dir, k: int) -> DataFrame:
+    rows = _broken_vectors(spark, sf_dir)
+    return background.residual_arrays(rows.select("label", "frame_idx", "features"), background.fit_groups(rows, ["label"], k), ["label"])
+
+
 @query("""WITH x AS (SELECT label, vec_id AS frame_idx, unnest(embedding)::DOUBLE AS v0, generate_subscripts(embedding, 1) - 1 AS pix FROM embeddings), x2 AS (SELECT *, CASE WHEN (frame_idx * 64 + pix) % 311 = 3 THEN NULL ELSE v0 END AS v FROM x),
 whole AS (SELECT label, frame_idx FROM x2 GROUP BY ALL HAVING count(v) = 64), m AS (SELECT label, pix, avg(v) AS mu FROM x2 JOIN whole USING (label, frame_idx) WHERE frame_idx % 3 < 2 GROUP BY label, pix),
 res AS (SELECT label, frame_idx, greatest(v - mu, 0) + CASE WHEN v IS NULL THEN NULL ELSE 0 END AS x FROM x2 JOIN m USING (label, pix)), k AS (SELECT *, row_number() OVER (PARTITION BY label, frame_idx ORDER BY x DESC NULLS LAST) AS k FROM res)
 SELECT label, frame_idx, count(x) AS n_finite, round(CASE WHEN count(x) >= 0.7 * 64 THEN sum(x) FILTER (k <= 8) * 64 / count(x) END, 5) AS score FROM k GROUP BY label, frame_idx""")
 def outlier_scores(spark, sf_dir):
-    res = background.pca_residuals(_broken_vectors(spark, sf_dir), ["label"], 0)
-    return background.outlier_scores(res, ["label", "frame_idx"], 64, topk=8).withColumn("score", F.round("score", 5))
+    return background.array_outlier_scores(_residual_arrays(spark, sf_dir, 0), ["label", "frame_idx"], topk=8).withColumn("score", F.round("score", 5))
 
 
 @query()
 def pca_residual_score(spark, sf_dir):
-    res = background.pca_residuals(_broken_vectors(spark, sf_dir), ["label"], 8)
-    return background.outlier_scores(res, ["label", "frame_idx"], 64, method="p99").withColumn("score", F.round("score", 6))
+    return background.array_outlier_scores(_residual_arrays(spark, sf_dir, 8), ["label", "frame_idx"], method="p99").withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -445,17 +478,18 @@ rolled AS (SELECT ctx.station AS station, ctx.h AS h, ctx.frame_idx AS frame_idx
   FROM ctx JOIN vals ON vals.station = ctx.station AND vals.frame_idx = ctx.frame_idx JOIN mu ON mu.station = ctx.station AND mu.h = ctx.h AND mu.f = vals.f WHERE t >= ctx.h AND t < ctx.h + 43200000000 GROUP BY ALL)"""
 
 
-def coarse_frames(spark, sf_dir) -> DataFrame:
+def coarse_rows(spark, sf_dir) -> DataFrame:
+    """The rows of a cube of 4 hours by 4 channels, in decibels."""
     rows = samples(spark, sf_dir).withColumn("station", F.concat(F.lit("S"), F.col("event_id") % 3))
-    coarse = rows.groupBy("station", F.floor(F.col("t_idx") / 4).alias("frame_idx"), (F.col("f_idx") % 4).alias("f")).agg(F.sum("value").alias("power"))
-    by_f = F.map_from_entries(F.collect_list(F.struct("f", maths.safe_db(F.col("power")).alias("db"))))
-    vectors = coarse.groupBy("station", "frame_idx").agg(by_f.alias("by_f"))
-    return vectors.select("station", "frame_idx", start_us(F.col("frame_idx"), 4).alias("start_us"), F.array(*[F.coalesce(F.try_element_at("by_f", F.lit(f).cast("long")), F.lit(float("nan"))) for f in range(4)]).alias("features"))
+    coarse = rows.groupBy("station", F.floor(F.col("t_idx") / 4).alias("t_idx"), (F.col("f_idx") % 4).alias("f")).agg(F.sum("value").alias("power"))
+    return cube.pack(coarse.withColumn("db", maths.safe_db(F.col("power"))), ["station", "t_idx"], "f", "db", 4)
 
 
-def _rolled(spark, sf_dir, k: int, **more) -> search.Search:
+def _rolled(spark, sf_dir, k: int, window: int = 1, **more) -> search.Search:
+    """From samples to regions; frames of ``window`` samples of 4 hours, one after each sample."""
     config = rolling.RollingConfig(context_us=96 * _H, stride_us=12 * _H, score_us=12 * _H, k=k, method="l2", score_options={"min_finite_frac": 0.5, "normalize_missing": True}, **more)
-    return search.search(coarse_frames(spark, sf_dir), FIRST + 48 * _H, LAST, config, ["station"], nsig=1.0, pad_us=_H, merge_gap_us=4 * _H)
+    grid = FramePlan(0, NT // 4, window, 1, 4 * DT, T0)
+    return search.search_cube(coarse_rows(spark, sf_dir), grid, 4, FIRST + 48 * _H, LAST, config, ["station"], nsig=1.0, pad_us=_H, merge_gap_us=4 * _H)
 
 
 _STATUS = f"""{_ROLL}, n AS (SELECT station, h, count(*) AS n_context, count(*) FILTER (t >= h AND t < h + 43200000000) AS n_scored FROM ctx GROUP BY ALL), whole AS (SELECT station, h, count(*) AS n_quiet FROM quiet GROUP BY ALL),
@@ -523,6 +557,17 @@ def rolling_roi(spark, sf_dir):
     return _regions(_rolled(spark, sf_dir, 0).regions)
 
 
+_ROLL3 = _ROLL.replace("), l AS (SELECT", "), l AS (SELECT").replace("vals AS (SELECT station, frame_idx, f, CAST", "one AS (SELECT station, frame_idx, f, CAST").replace(
+    "fr AS (SELECT", "vals AS (SELECT station, frame_idx - j AS frame_idx, f + 4 * j AS f, v FROM one, range(3) AS x(j) WHERE frame_idx - j BETWEEN 0 AND 177),\nfr AS (SELECT"
+).replace("count(*) = 4 THEN", "count(*) = 12 THEN").replace("count(*) >= 2 THEN sqrt(sum(greatest(v - mu, 0) ** 2) * 4 / count(*))", "count(*) >= 6 THEN sqrt(sum(greatest(v - mu, 0) ** 2) * 12 / count(*))")
+
+
+@query(f"WITH {_ROLL3}, {_roi_sql('rolled')}")
+def cube_roi(spark, sf_dir):
+    """The whole search from samples, with frames that overlap: 12 hours every 4 hours, 12 values each."""
+    return _regions(_rolled(spark, sf_dir, 0, 3).regions)
+
+
 EVENTS = [("20240103_010000", "20240103_090000"), ("20240103_080000", "20240104_000000"), ("20240115_120000", "20240120_000000")]
 
 
