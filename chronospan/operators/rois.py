@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import UTC_SPARK
 from ..functions.maths import finite_or_null
+from . import ranges
 from .metrics import robust_threshold
 
+#: Length of the ranges that runs are looked for in: a week.
+RANGE_US = 7 * 24 * 3_600_000_000
+
 #: Hand-picked events, as start and stop in UTC.
 CURATED = [
     ("20240721_014500", "20240721_020500"), ("20240724_072500", "20240724_080500"), ("20240724_170500", "20240724_174500"),
@@ -64,20 +68,46 @@ def file_tag(text: str) -> str:
     return "".join(c if c.isalnum() or c in "-_" else "-" for c in text).strip("-") or "unknown"
 
 
-def find_rois(scores: DataFrame, by: list[str], nsig: float = 3.0, pad_us: int = 300_000_000, merge_gap_us: int = 1_200_000_000, time: str = "time_us", value: str = "score") -> DataFrame:
+def _runs(rows: DataFrame, by: list[str], time: str, value: str, width: int) -> DataFrame:
+    """by, lo, hi, peak, total, n of each run of adjacent rows that are ``_on``, in time order.
+
+    A range gives its own runs; one that touches the range's end goes on in the next range if that begins with a run. Which
+    range a chain of such runs begins in is carried over the ranges, three flags each.
+    """
+    rows = ranges.dealt(rows, by, time, width)
+    w = ranges.within(by, time)
+    marked = rows.withColumn("_run", F.sum((~F.col("_on")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    marked = marked.withColumn("_first", F.row_number().over(w) == 1).withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+    local = marked.where("_on").groupBy(*by, ranges.PART, "_run").agg(F.min(time).alias("lo"), F.max(time).alias("hi"), F.max(value).alias("peak"), F.sum(value).alias("total"), F.count("*").alias("n"), F.max("_first").alias("_first"), F.max("_last").alias("_last"))
+    parts = rows.groupBy(*by, ranges.PART).agg(F.max_by("_on", time).alias("_right"), F.min("_on").alias("_whole"))
+    along = ranges.along(by)
+    parts = parts.withColumn("_open", F.coalesce(F.lag("_right").over(along), F.lit(False)))
+    parts = parts.withColumn("_head", F.last(F.when(~(F.col("_whole") & F.col("_open")), F.col(ranges.PART)), True).over(along.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    parts = parts.select(*by, ranges.PART, "_open", F.lag("_head").over(along).alias("_from"))
+    local = ranges.meet(local, parts, [*by, ranges.PART])
+    goes_on = F.col("_first") & F.col("_open")
+    chain = F.when(goes_on, F.struct(F.col("_from").alias("part"), F.lit(-1).cast("long").alias("run"))).when(F.col("_last"), F.struct(F.col(ranges.PART).alias("part"), F.lit(-1).cast("long").alias("run")))
+    chain = chain.otherwise(F.struct(F.col(ranges.PART).alias("part"), F.col("_run").cast("long").alias("run")))
+    return local.groupBy(*by, chain.alias("_chain")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("peak").alias("peak"), F.sum("total").alias("total"), F.sum("n").alias("n")).drop("_chain")
+
+
+def find_rois(scores: DataFrame, by: list[str], nsig: float = 3.0, pad_us: int = 300_000_000, merge_gap_us: int = 1_200_000_000, time: str = "time_us", value: str = "score", range_us: int = RANGE_US) -> DataFrame:
     """by, start_us, stop_us, peak_score, sum_score, n_frames. Runs go by adjacent rows in time order within ``by`` (say a station);
-    padded runs merge when the next starts at most merge_gap_us after the latest stop so far. Windows are partitioned by ``by``."""
+    padded runs merge when the next starts at most merge_gap_us after the latest stop so far.
+
+    Work is dealt by ranges of range_us (see operators.ranges), so a station is not one task; results don't depend on it.
+    """
     missing = [c for c in (*by, time, value) if c not in scores.columns]
     if missing:
         raise ValueError(f"no column {missing}")
     x = finite_or_null(F.col(value))
-    rows = scores.join(robust_threshold(scores, nsig, by, value).select(*by, "threshold"), by).withColumn("_on", F.coalesce(x > F.col("threshold"), F.lit(False)))
-    order = W.partitionBy(*by).orderBy(time)
-    rows = rows.withColumn("_run", F.sum((~F.col("_on")).cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).where("_on")
-    runs = rows.groupBy(*by, "_run").agg((F.min(time) - pad_us).alias("start_us"), (F.max(time) + pad_us).alias("stop_us"), F.max(value).alias("peak_score"), F.sum(value).alias("sum_score"), F.count("*").alias("n_frames"))
-    by_start = W.partitionBy(*by).orderBy("start_us", "_run")
-    latest = F.max("stop_us").over(by_start.rowsBetween(W.unboundedPreceding, -1))
-    runs = runs.withColumn("_new", F.when(F.col("start_us") - latest <= merge_gap_us, 0).otherwise(1))
-    runs = runs.withColumn("_roi", F.sum("_new").over(by_start.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    merged = runs.groupBy(*by, "_roi").agg(F.min("start_us").alias("start_us"), F.max("stop_us").alias("stop_us"), F.max("peak_score").alias("peak_score"), F.sum("sum_score").alias("sum_score"), F.sum("n_frames").alias("n_frames"))
+    limits = robust_threshold(scores, nsig, by, value).select(*by, "threshold")
+    rows = scores.join(limits, by).withColumn("_on", F.coalesce(x > F.col("threshold"), F.lit(False))).select(*by, time, value, "_on")
+    runs = _runs(rows, by, time, value, range_us)
+    runs = ranges.dealt(runs.withColumn("start_us", F.col("lo") - pad_us).withColumn("stop_us", F.col("hi") + pad_us), by, "start_us", range_us)
+    order = ["start_us", "stop_us"]
+    runs = ranges.running(runs, by, order, F.col("stop_us"), "max", "_latest", inclusive=False)
+    apart = F.when(F.col("start_us") - F.col("_latest") <= merge_gap_us, 0).otherwise(1)
+    runs = ranges.running(runs, by, order, apart, "sum", "_roi")
+    merged = runs.groupBy(*by, "_roi").agg(F.min("start_us").alias("start_us"), F.max("stop_us").alias("stop_us"), F.max("peak").alias("peak_score"), F.sum("total").alias("sum_score"), F.sum("n").alias("n_frames"))
     return merged.drop("_roi")

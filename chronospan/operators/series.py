@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.maths import finite_or_null, nan_to_null
+from . import ranges
 
 #: Columns that a flux table must have.
 FLUX_COLUMNS = ("time", "xrsa_flux", "xrsb_flux")
@@ -65,34 +68,63 @@ def minmax(df: DataFrame, value: str, by: list[str], out: str, guard: bool = Tru
 
     With the guard, 0.5 where all values are about equal; without it (curves of several stations), missing where they are equal.
     """
-    w, x = W.partitionBy(*by), nan_to_null(F.col(value).cast("double"))
-    lo, hi = F.min(x).over(w), F.max(x).over(w)
+    x = nan_to_null(F.col(value).cast("double"))
+    met = ranges.meet(df, df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")), by)
+    lo, hi = F.col("_lo"), F.col("_hi")
     scaled = F.try_divide(x - lo, F.when(hi != lo, hi - lo))
     flat = F.abs(hi - lo) <= 1e-8 + 1e-5 * F.abs(lo)
-    return df.withColumn(out, F.when(x.isNotNull(), F.when(flat, 0.5).otherwise(scaled)) if guard else scaled)
+    return met.withColumn(out, F.when(x.isNotNull(), F.when(flat, 0.5).otherwise(scaled)) if guard else scaled).drop("_lo", "_hi")
+
 
+def interpolate(knots: DataFrame, points: DataFrame, by: list[str], x: str = "x", y: str = "y", width: float | None = None) -> DataFrame:
+    """points (by, x) with y by linear interpolation between the knots (by, x, y), the end values beyond them.
 
-def interpolate(knots: DataFrame, points: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """points (by, x) with y by linear interpolation between the knots (by, x, y), the end values beyond them. One shuffle by ``by``."""
+    Rows are dealt by ranges of x, ``width`` wide. Within a range a point finds the knots around it; where there is none on one side,
+    the last knot of the ranges before and the first of those behind are carried over, empty ranges included.
+    """
     both = knots.select(*by, x, y, F.lit(0).alias("_point")).unionByName(points.select(*by, x, F.lit(None).cast("double").alias(y), F.lit(1).alias("_point")))
-    order = W.partitionBy(*by).orderBy(x, "_point")
-    knot = F.when(F.col("_point") == 0, F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
-    both = both.withColumn("_a", F.last(knot, True).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_b", F.first(knot, True).over(order.rowsBetween(0, W.unboundedFollowing)))
+    both = ranges.dealt(both, by, x, width or ranges.width_of(knots, x)).withColumn("_knot", F.when(F.col("_point") == 0, F.struct(F.col(x).alias("x"), F.col(y).alias("y"))))
+    order, along = ranges.within(by, [x, "_point"]), ranges.along(by)
+    parts = both.groupBy(*by, ranges.PART).agg(F.max("_knot").alias("_last"), F.min("_knot").alias("_first"))
+    parts = parts.select(*by, ranges.PART, F.last("_last", True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("_behind"))
+    near = both.withColumn("_a", F.last("_knot", True).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_b", F.first("_knot", True).over(order.rowsBetween(0, W.unboundedFollowing)))
+    near = ranges.meet(near.where("_point = 1"), parts, [*by, ranges.PART])
+    near = near.withColumn("_a", F.coalesce("_a", "_before")).withColumn("_b", F.coalesce("_b", "_behind"))
     a, b = F.col("_a"), F.col("_b")
     between = a["y"] + (b["y"] - a["y"]) * (F.col(x) - a["x"]) / (b["x"] - a["x"])
     value = F.when(a.isNull(), b["y"]).when(b.isNull() | (a["x"] == F.col(x)), a["y"]).otherwise(between)
-    return both.where("_point = 1").select(*by, x, value.alias(y))
-
-
-def cross_correlation(pairs: DataFrame, by: list[str], order: str, a: str, b: str, max_lag: int) -> DataFrame:
-    """by, lag, corr of z-scored series for lags up to max_lag either way; positive: a follows b. Pairs of which one value is not finite drop out first, and the rest is numbered anew."""
-    ready = pairs.withColumn(a, finite_or_null(F.col(a))).withColumn(b, finite_or_null(F.col(b))).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    w = W.partitionBy(*by)
-    z = lambda c: (F.col(c) - F.avg(c).over(w)) / F.stddev_pop(c).over(w)
-    z_scored = ready.select(*by, (F.row_number().over(w.orderBy(order)) - 1).alias("i"), z(a).alias("a"), z(b).alias("b"), F.count("*").over(w).alias("n")).where("n >= 3")
-    left = z_scored.select(*by, "i", "a", "n").withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))).withColumn("j", F.col("i") - F.col("lag"))
-    right = z_scored.select(*by, F.col("i").alias("j"), "b")
-    return left.join(right, [*by, "j"]).groupBy(*by, "lag").agg((F.sum(F.col("a") * F.col("b")) / F.first("n")).alias("corr"))
+    return near.select(*by, x, value.alias(y))
+
+
+def cross_correlation(pairs: DataFrame, by: list[str], order: str, a: str, b: str, max_lag: int, block: int = 4096, width: float | None = None) -> DataFrame:
+    """by, lag, corr of z-scored series for lags up to max_lag either way; positive: a follows b. Pairs of which one value is not finite drop out first, and the rest is numbered anew.
+
+    The numbered samples are cut into blocks; those of b within max_lag of a block go to it as well. A block gives one partial sum for each lag.
+    """
+    block, types = max(block, max_lag, 1), dict(pairs.dtypes)
+    ready = pairs.select(*by, order, finite_or_null(F.col(a)).alias("a"), finite_or_null(F.col(b)).alias("b")).where("a is not null and b is not null")
+    facts = ready.groupBy(*by).agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in "ab" for k, f in (("m", F.avg), ("s", F.stddev_pop))]).where("n >= 3")
+    rows = ranges.meet(ranges.numbered(ready, by, order, "i", width), facts, by)
+    # The second series stands in the blocks of all samples that it can meet.
+    reach = F.sequence(F.greatest(F.lit(0), F.floor((F.col("i") - max_lag) / block)), F.floor((F.col("i") + max_lag) / block))
+    z = lambda c: ((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).alias("v")
+    sides = rows.select(*by, "i", F.lit(0).alias("side"), z("a"), F.floor(F.col("i") / block).alias("_block"))
+    sides = sides.unionByName(rows.select(*by, "i", F.lit(1).alias("side"), z("b"), F.explode(reach).alias("_block")))
+
+    def work(g: pa.Table) -> pa.Table:
+        first = g.column("_block")[0].as_py() * block
+        at, side, v = g.column("i").to_numpy() - first, g.column("side").to_numpy(), g.column("v").to_numpy(zero_copy_only=False).astype(float)
+        x, y = np.zeros((2, block)), np.zeros((2, block + 2 * max_lag))  # values, and where there are any
+        for part, k, into in ((side == 0, 0, x), (side == 1, max_lag, y)):
+            into[0, at[part] + k], into[1, at[part] + k] = v[part], 1
+        # Entry k of the correlation is the lag max_lag - k.
+        sums, met = np.correlate(y[0], x[0], "valid")[::-1], np.rint(np.correlate(y[1], x[1], "valid")[::-1])
+        keys = [pa.array([g.column(c)[0].as_py()] * len(sums), g.schema.field(c).type) for c in by]
+        return pa.Table.from_arrays([*keys, pa.array(np.arange(-max_lag, max_lag + 1)), pa.array(sums), pa.array(met.astype(np.int64))], names=[*by, "lag", "part", "met"])
+
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in by), "lag long, part double, met long"])
+    found = sides.groupBy(*by, "_block").applyInArrow(work, schema).groupBy(*by, "lag").agg(F.sum("part").alias("part"), F.sum("met").alias("met")).where("met > 0")
+    return ranges.meet(found, facts.select(*by, "n"), by).select(*by, F.col("lag").cast("int").alias("lag"), (F.col("part") / F.col("n")).alias("corr"))
 
 
 def best_lag(correlations: DataFrame, by: list[str]) -> DataFrame:

@@ -700,12 +700,12 @@ smp AS (SELECT point, azimuth, d, z0, CASE WHEN count(*) = count(z) THEN sum(w *
 hz AS (SELECT point, azimuth, max(degrees(atan2(z - z0, d))) AS horizon FROM smp GROUP BY point, azimuth)"""
 
 
-def _horizon(spark, sf_dir) -> DataFrame:
+def _horizon(spark, sf_dir, compass: bool = False) -> DataFrame:
     k = F.col("p_partkey")
     dem = spectra.table(spark, sf_dir, "part").select(F.floor(k / 40).alias("row"), (k % 40).alias("col"), F.col("p_size").cast("double").alias("elevation"))
     s = F.col("s_suppkey")
     points = spectra.table(spark, sf_dir, "supplier").select(s.alias("point"), (s % 5).alias("row0"), ((s * 7) % 40).alias("col0"))
-    return terrain.horizon_profile(points, dem, ["point"], n_directions=8, max_distance=6.0, step=1.0)
+    return terrain.horizon_profile(points, dem, ["point"], n_directions=8, max_distance=6.0, step=1.0, compass=compass, tile=16)
 
 
 @query(f"WITH {_HORIZON} SELECT point, azimuth, round(horizon, 6) + 0.0 AS horizon FROM hz")
@@ -713,6 +713,12 @@ def horizon_profile(spark, sf_dir):
     return _horizon(spark, sf_dir).withColumn("horizon", r("horizon"))
 
 
+@query("WITH " + _HORIZON.replace("row0 - sin(", "row0 - cos(").replace("col0 + cos(", "col0 + sin(") + " SELECT point, azimuth, round(horizon, 6) + 0.0 AS horizon FROM hz")
+def horizon_compass(spark, sf_dir):
+    """Azimuths clockwise from North."""
+    return _horizon(spark, sf_dir, True).withColumn("horizon", r("horizon"))
+
+
 @query(f"WITH {_HORIZON}, o AS (SELECT o_custkey % 10 AS point, o_orderkey // 8 AS day, o_orderkey % 8 AS k, o_totalprice / 10000 AS alt FROM orders) SELECT o.point, day, round(count(*) FILTER (alt >= horizon) / 8.0, 6) AS fraction FROM o LEFT JOIN hz ON hz.point = o.point AND azimuth = k * 45.0 GROUP BY o.point, day")
 def illuminated_fraction(spark, sf_dir):
     """Orders stand in for a sky path: eight samples a day, of which sample k meets horizon k."""
