@@ -2,13 +2,9 @@
 
 A sketch keeps every shingle hash below a fixed share of the hash range, whatever the document's length. Sketches
 therefore merge by union, and the share of one sketch found in another estimates how much of one document the other
-contains, even where one is a thousand times longer. A text with shingles of which none is below the threshold
-keeps its smallest hash, so only empty texts have an empty sketch; merging stays a union (the smallest of the union
-is among the two).
-
-Of a short text the threshold leaves a handful of hashes, which is no estimate. So while two texts are compared, all their
-hashes are at hand, and if either has fewer than SHORT of them, the likeness is exact; else it comes from the
-sketches, with a standard error of at most sqrt(p (1 - p) / (SHORT * SHARE)), that is 0.0625.
+contains, even where one is a thousand times longer. All comparisons rest on the sketches alone, so whoever has two
+fingerprints can repeat them. The estimate from a sketch of n hashes has a standard error of sqrt(p (1 - p) / n); a text of m
+different shingles has about m * SHARE of them, and a very short one may have none (its fingerprint is empty, as that of an empty text).
 """
 
 from __future__ import annotations
@@ -26,10 +22,8 @@ from pyspark.sql import types as T
 from .text import blocks, shingles, split_words
 
 SHINGLE = 5
-#: Share of the hash range that is kept.
-SHARE = 1 / 8
-#: Below so many distinct shingles of either text, a comparison takes all of them.
-SHORT = 512
+#: Share of the hash range that is kept: half, as most texts have some tens of shingles.
+SHARE = 1 / 2
 #: Bytes of text of a range of ids.
 RANGE_BYTES = 64 << 20
 
@@ -46,21 +40,15 @@ def all_hashes(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     return np.split(runs, np.searchsorted(rows, np.arange(1, w.n_docs))) if w.n_docs else []
 
 
-def sketch(hashes: np.ndarray, share: float = SHARE) -> np.ndarray:
-    """What the sketch keeps of sorted hashes: those below the threshold, or the smallest."""
-    return hashes[: max(1, int(np.searchsorted(hashes, np.uint64(int(share * 2.0**64) - 1), "right")))]
-
-
 def sketches(texts: pa.Array, shingle: int = SHINGLE, share: float = SHARE) -> list[np.ndarray]:
-    """The sketch of each text."""
-    return [sketch(h, share) for h in all_hashes(texts, shingle)]
+    """The sketch of each text: its hashes below the threshold."""
+    limit = np.uint64(int(share * 2.0**64) - 1)
+    return [h[: np.searchsorted(h, limit, "right")] for h in all_hashes(texts, shingle)]
 
 
-def merge(a: np.ndarray, b: np.ndarray, share: float = SHARE) -> np.ndarray:
+def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of two documents' shingles together."""
-    both = np.union1d(a, b)
-    low = both[both < np.uint64(int(share * 2.0**64))]
-    return low if len(low) or not len(both) else both[:1]
+    return np.union1d(a, b)
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
@@ -69,11 +57,9 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Containment of the smaller of two texts (all their hashes) in the larger, from their sketches or, for short ones, exact; of an empty one 1 in an empty one and 0 in others."""
+    """Containment of the smaller of two sketches in the larger; of an empty one 1 in an empty one and 0 in others."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    if min(len(a), len(b)) >= SHORT:
-        a, b = sketch(a), sketch(b)
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
 
 
@@ -179,7 +165,7 @@ def compare_edited(pairs: DataFrame) -> DataFrame:
     """From (doc_id, text, next_text): doc_id, n_chars, edited (the edited text), fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all)
-    of the next one. near_edited and near_next are the likeness of the text to those two (see likeness()).
+    of the next one. near_edited and near_next are the likeness of its sketch to theirs (see likeness()).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +174,9 @@ def compare_edited(pairs: DataFrame) -> DataFrame:
                 text, following = b.column(1).to_pylist(), b.column(2).to_pylist()
                 half = [len(t) // 2 for t in text]
                 edited = [t[: len(t) - h] + f[:h] for t, f, h in zip(text, following, half, strict=True)]
-                own, other, after = (all_hashes(pa.array(x, pa.string())) for x in (text, edited, following))
+                own, other, after = (sketches(pa.array(x, pa.string())) for x in (text, edited, following))
                 columns = [
-                    b.column(0), pa.array([len(t) for t in text], pa.int64()), pa.array(edited, pa.string()), pa.array([to_hex(sketch(x)) for x in own], pa.string()), pa.array([to_hex(sketch(x)) for x in other], pa.string()),
+                    b.column(0), pa.array([len(t) for t in text], pa.int64()), pa.array(edited, pa.string()), pa.array(map(to_hex, own), pa.string()), pa.array(map(to_hex, other), pa.string()),
                     pa.array(map(likeness, own, other), pa.float64()), pa.array(map(likeness, own, after), pa.float64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
