@@ -5,11 +5,12 @@ A word is a match of ``[^\\x20\\x09-\\x0D]+`` everywhere in this subpackage.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 1 << 20
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers, about.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Rows hold whole texts, so from here on the session sends them to Python in batches bounded by bytes, not by their
+    number alone (10,000 texts of some kB make several hundred MB on both sides)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -73,6 +81,22 @@ def blocks(batch: pa.RecordBatch, column: str | int = "text", limit: int = BLOCK
         total += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+    release()
+
+
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def release() -> None:
+    """Gives memory that nothing holds back to the system: a worker lives through many tasks, and its peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
 
 
 @dataclass

@@ -2,13 +2,14 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from chronospan.llm import kneser_ney, license_scan, line_crf, mixing, scaled_sketch, url_rules, vp_simhash
+from chronospan.llm import kneser_ney, license_scan, line_crf, mixing, scaled_sketch, url_rules, vp_simhash, zdict_toxicity
 
 
 def slow_kneser_ney(texts):
@@ -253,3 +254,44 @@ def test_large_bucket_keeps_links(spark, n):
     texts = [" ".join([f"x{j}" for j in range(3 * i)] + base[3 * i :]) for i in range(n)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["doc_id"] for r in jaccard_dedup.keep_one(docs).collect()] == ([0] if n else [])
+
+
+def test_toxicity_against_a_plain_version(spark):
+    """The registered query's scores, and those of a loop over words with the same model; held-out rows of the given tables."""
+    from chronospan.llm.queries import op3_zdict_toxicity
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["doc_id"] in texts}
+    sample = [[texts[i] for i in sorted(toxic) if toxic[i] == y and not out(i)] for y in (1, 0)]
+    model = zdict_toxicity.fit(*sample, len(sample[0]) / (len(sample[0]) + len(sample[1])))
+    windows, weight = zdict_toxicity.Windows(model.ordinary, model.toxic), model.weights
+
+    def plain(text):
+        words = [x for w in text.lower().encode().split() if (x := w.strip(zdict_toxicity.ENDS))]
+        of = {w: weight[int(windows.classes([w])[0])] for w in set(words)}
+        total, n = sum(of[w] for w in words), len(words)
+        strong, kinds, stronger = sum(of[w] > 1 for w in words), sum(v > 1 for v in of.values()), sum(v > 2 for v in of.values())
+        x = [1, total / math.sqrt(n + 25), strong / math.sqrt(n + 25), 10 * strong / (n + 25), math.log1p(strong), math.log1p(n) / 5, math.log1p(kinds), math.log1p(stronger)]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.logistic, strict=True))))
+
+    got = {r["doc_id"]: r for r in op3_zdict_toxicity(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        assert math.isclose(got[i]["score"], plain(text), abs_tol=1e-9) and got[i]["predicted"] == int(got[i]["score"] >= 0.7) and got[i]["held_out"] == out(i)
+    held = [i for i in toxic if out(i) and toxic[i] is not None]
+    hit = lambda y: [got[i]["predicted"] for i in held if toxic[i] == y]
+    assert np.mean(hit(1)) >= 0.7 and np.mean(hit(0)) <= 0.02
+
+
+def test_stems_of_inflected_words():
+    """Words that all differ, told by their beginnings: a dictionary of whole words would not know those of other texts."""
+    rng = random.Random(9)
+    syllables = ["ba", "do", "ki", "lu", "me", "no", "ri", "sa", "te", "vu", "zo", "pa"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(2, 5)))
+    text = lambda bad: " ".join(rng.choice(["grox", "plimf"]) + word() if rng.random() < bad else word() for _ in range(120))
+    model = zdict_toxicity.fit([text(0.04) for _ in range(100)], [text(0) for _ in range(200)], 0.33)
+    score = lambda bad: zdict_toxicity.probabilities(model, pa.array([text(bad) for _ in range(60)]))
+    assert np.mean(score(0.04) >= 0.7) > 0.9 and np.mean(score(0) >= 0.7) < 0.05

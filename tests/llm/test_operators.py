@@ -182,7 +182,8 @@ def test_toxicity():
 
     def score(t):
         w = weights[windows.classes(zdict_toxicity._windows(t))]
-        x = zdict_toxicity._features(np.array([w.sum()]), np.array([(w > zdict_toxicity.STRONG).sum()]), np.array([len(w)]))
+        kinds = weights[windows.classes(sorted(set(zdict_toxicity._windows(t))))]
+        x = zdict_toxicity._features(*(np.array([v]) for v in (w.sum(), (w > zdict_toxicity.STRONG).sum(), len(w), (kinds > zdict_toxicity.STRONG).sum(), (kinds > 2 * zdict_toxicity.STRONG).sum())))
         return 1 / (1 + np.exp(-x @ np.array(model.logistic)))[0]
 
     assert np.mean([score(text(0.06)) >= 0.7 for _ in range(40)]) > 0.9 and np.mean([score(text(0)) >= 0.7 for _ in range(40)]) < 0.1
