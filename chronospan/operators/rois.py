@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import UTC_SPARK
 from ..functions.maths import finite_or_null
+from ..sources.tables import written
 from . import ranges
 from .metrics import robust_threshold
 
@@ -101,9 +102,10 @@ def find_rois(scores: DataFrame, by: list[str], nsig: float = 3.0, pad_us: int =
     if missing:
         raise ValueError(f"no column {missing}")
     x = finite_or_null(F.col(value))
+    scores = written(scores.select(*by, time, value), "scores")  # several passes follow; the scores are made once
     limits = robust_threshold(scores, nsig, by, value).select(*by, "threshold")
     rows = scores.join(limits, by).withColumn("_on", F.coalesce(x > F.col("threshold"), F.lit(False))).select(*by, time, value, "_on")
-    runs = _runs(rows, by, time, value, range_us)
+    runs = written(_runs(rows, by, time, value, range_us), "runs")
     runs = ranges.dealt(runs.withColumn("start_us", F.col("lo") - pad_us).withColumn("stop_us", F.col("hi") + pad_us), by, "start_us", range_us)
     order = ["start_us", "stop_us"]
     runs = ranges.running(runs, by, order, F.col("stop_us"), "max", "_latest", inclusive=False)

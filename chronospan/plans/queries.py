@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import maths, selection
 from ..functions.grid import FramePlan, plan_frames, unix_seconds
-from ..operators import background, cube, frames, metrics, rois, rolling, search, series, terrain
-from ..sources import spectra
+from ..operators import background, cube, frames, metrics, order_stats, pixel_pca, range_finder, rois, rolling, search, series, terrain
+from ..sources import ingest, spectra
+from ..sources.tables import shared_folder, written
 from .pipeline import Pipeline, db_step, stokes_i_step, stokes_iquv_step
 
 T0, DT, NT, NF = 1_704_067_200.0, 3600.0, 720, 16
@@ -255,6 +256,14 @@ _metric("metric_normalized", _metric_sql("sum(abs(db)) * (78.0 / count(db))"), "
 _metric("quiet_scores", _metric_sql("quantile_cont(db, 0.99)", 1.0), "p99", min_finite_frac=1.0)
 
 
+@query("""WITH k AS (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC) AS k FROM lineitem)
+SELECT l_returnflag, count(*) AS n, round(quantile_cont(v, 0.99), 4) AS p99, round(quantile_cont(v, 0.5), 4) AS median, round(sum(v) FILTER (k <= 2048), 2) AS top FROM k GROUP BY l_returnflag""")
+def wide_order_statistics(spark, sf_dir):
+    """Percentiles and the sum of the 2,048 largest values of three groups that hold the whole table."""
+    found = order_stats.order_statistics(spectra.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p99": 0.99, "median": 0.5}, {"top": 2048})
+    return found.select("l_returnflag", "n", F.round("p99", 4).alias("p99"), F.round("median", 4).alias("median"), F.round("top", 2).alias("top"))
+
+
 @query(f"WITH {_FRAMED} SELECT frame_idx, round(count(db) / 78.0, 6) AS fraction FROM framed GROUP BY frame_idx")
 def finite_fraction(spark, sf_dir):
     return frame_scores(spark, sf_dir).select("frame_idx", F.round(F.col("n_finite") / SIZE, 6).alias("fraction"))
@@ -277,8 +286,8 @@ def station_framed(spark, sf_dir) -> DataFrame:
 def station_scores(spark, sf_dir) -> DataFrame:
     """All frames of the plan of each station, those without samples included."""
     scored = metrics.score(station_framed(spark, sf_dir), ["station", "frame_idx"], "db", SIZE, "p99", min_finite_frac=0.05)
-    stations = station_cells(spark, sf_dir).select("station").distinct()
-    return frames.with_plan(scored, plan(), ("n_finite",), stations).withColumn("time_us", start_us(F.col("frame_idx")))
+    scored = written(scored, "frame-scores")  # their stations are told from them, not from the cells again
+    return frames.with_plan(scored, plan(), ("n_finite",), scored.select("station").distinct()).withColumn("time_us", start_us(F.col("frame_idx")))
 
 
 @query(f"WITH {_SFRAMED} SELECT station, frame_idx, n_finite, round(score, 6) AS score FROM station_scores")
@@ -519,6 +528,38 @@ def rolling_scores(spark, sf_dir):
     return _rolled(spark, sf_dir, 2).scores.withColumn("score", F.round("score", 6))
 
 
+_ROLL3 = _ROLL.replace("), l AS (SELECT", "), l AS (SELECT").replace("vals AS (SELECT station, frame_idx, f, CAST", "one AS (SELECT station, frame_idx, f, CAST").replace(
+    "fr AS (SELECT", "vals AS (SELECT station, frame_idx - j AS frame_idx, f + 4 * j AS f, v FROM one, range(3) AS x(j) WHERE frame_idx - j BETWEEN 0 AND 177),\nfr AS (SELECT"
+).replace("count(*) = 4 THEN", "count(*) = 12 THEN").replace("count(*) >= 2 THEN sqrt(sum(greatest(v - mu, 0) ** 2) * 4 / count(*))", "count(*) >= 6 THEN sqrt(sum(greatest(v - mu, 0) ** 2) * 12 / count(*))")
+
+
+@query(f"WITH {_ROLL3} SELECT station, time_us, frame_idx, round(score, 4) AS score FROM rolled")
+def pixel_mean_scores(spark, sf_dir):
+    """The mean of each window's quiet frames taken off, by blocks of 5 pixels (frames of 12 values)."""
+    return _by_pixels(spark, sf_dir, 0).withColumn("score", F.round("score", 4))
+
+
+@query()
+def pixel_scores(spark, sf_dir):
+    """The same against two components."""
+    return _by_pixels(spark, sf_dir, 2).withColumn("score", F.round("score", 6))
+
+
+def _by_pixels(spark, sf_dir, k: int) -> DataFrame:
+    config = rolling.RollingConfig(context_us=96 * _H, stride_us=12 * _H, score_us=12 * _H, k=k, method="l2", score_options={"min_finite_frac": 0.5, "normalize_missing": True})
+    grid = FramePlan(0, NT // 4, 3, 1, 4 * DT, T0)
+    vectors = cube.frame_vectors(coarse_rows(spark, sf_dir), grid, ["station"], 4)
+    found = rolling.frame_scores(pixel_pca.run(written(vectors, "vectors"), FIRST + 48 * _H, LAST, config, ["station"], pixels=5), ["station"])
+    return found.select("station", cube.start_us(grid, F.col("frame_idx")).alias("time_us"), "frame_idx", "score")
+
+
+@query()
+def pca_range_finder(spark, sf_dir):
+    """The largest singular values by random directions, rounded to what they are sure to."""
+    found = range_finder.fit_groups(_vectors(spark, sf_dir), ["label"], 4, n_iter=8, oversample=16)
+    return found.select("label", F.posexplode("singular").alias("i", "value")).withColumn("i", F.col("i").cast("long")).withColumn("value", F.round("value", 3))
+
+
 # ---- regions of interest ------------------------------------------------------------------------------------
 
 
@@ -557,11 +598,6 @@ def rolling_roi(spark, sf_dir):
     return _regions(_rolled(spark, sf_dir, 0).regions)
 
 
-_ROLL3 = _ROLL.replace("), l AS (SELECT", "), l AS (SELECT").replace("vals AS (SELECT station, frame_idx, f, CAST", "one AS (SELECT station, frame_idx, f, CAST").replace(
-    "fr AS (SELECT", "vals AS (SELECT station, frame_idx - j AS frame_idx, f + 4 * j AS f, v FROM one, range(3) AS x(j) WHERE frame_idx - j BETWEEN 0 AND 177),\nfr AS (SELECT"
-).replace("count(*) = 4 THEN", "count(*) = 12 THEN").replace("count(*) >= 2 THEN sqrt(sum(greatest(v - mu, 0) ** 2) * 4 / count(*))", "count(*) >= 6 THEN sqrt(sum(greatest(v - mu, 0) ** 2) * 12 / count(*))")
-
-
 @query(f"WITH {_ROLL3}, {_roi_sql('rolled')}")
 def cube_roi(spark, sf_dir):
     """The whole search from samples, with frames that overlap: 12 hours every 4 hours, 12 values each."""
@@ -807,3 +843,25 @@ def cube_meta(spark, sf_dir):
     station = spectra.table(spark, sf_dir, "nation").agg(F.min("n_name").alias("name"))
     meta = spectra.cube_meta(spark, "", T0, DT, NT, NF, 0.0, 0.25, "/raw", datetime(2024, 2, 1, tzinfo=timezone.utc)).drop("station")
     return spectra.meta_rows(station.withColumnRenamed("name", "station").crossJoin(F.broadcast(meta)))
+
+
+# Directories of 50 vectors every 45 samples; some lack a component, some have one of another width. Rows: t_idx and what the cube holds there.
+_TREE = """v AS (SELECT vec_id // 50 AS run, (vec_id // 50) * 45 + vec_id % 50 AS t_idx, embedding AS e FROM embeddings), good AS (SELECT * FROM v WHERE run % 7 NOT IN (3, 5)),
+won AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY t_idx ORDER BY run DESC) = 1)"""
+
+
+@query(f"""WITH {_TREE}, m AS (SELECT t_idx, unnest(e)::DOUBLE AS a, unnest(list_reverse(e))::DOUBLE AS b FROM won)
+SELECT t_idx, round(sum(a), 4) + 0.0 AS p00, round(sum(b), 4) + 0.0 AS p11, round(sum(sqrt(a * a + b * b)), 4) AS mag, round(sum(atan2(b, a)), 3) + 0.0 AS phase FROM m GROUP BY t_idx""")
+def ingest_tree(spark, sf_dir):
+    """Raw files, made from embeddings by Spark, to a cube on disk; it is ingested twice and read back."""
+    rows = spectra.table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 50).alias("k"), "embedding", F.reverse("embedding").alias("back"))
+    values = {"pol00": F.col("embedding"), "pol11": F.col("back"), "pol01r": F.when(F.col("k") % 7 == 5, F.slice("embedding", 1, 60)).otherwise(F.col("embedding")), "pol01i": F.col("back")}
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.array_join(v.cast("array<string>"), ",").alias("line")) for c, v in values.items()])).alias("p")
+    lines = rows.select("vec_id", (F.lit(int(T0)) + F.col("k") * 450).alias("run"), "k", parts).where("not (k % 7 = 3 and p.component = 'pol11')").select("run", "p.component", "vec_id", "p.line")
+    root = shared_folder(spark, "raw")
+    lines.repartition("run", "component").sortWithinPartitions("run", "component", "vec_id").select("run", "component", "line").write.partitionBy("run", "component").option("compression", "gzip").text(root)
+    for _ in range(2):
+        found = ingest.ingest(spark, root, f"{root}-cube", "S0", ingest.text_decoder, 10.0, 64, parents="", name="run=", files="component=*")
+    total = lambda c, n: r(F.aggregate(F.col(c).cast("array<double>"), F.lit(0.0), lambda s, v: s + v), n)
+    cube_, _ = spectra.open_spectra(spark, found.cube, found.meta)
+    return cube_.select("t_idx", total("pol00", 4).alias("p00"), total("pol11", 4).alias("p11"), total("pol01_mag", 4).alias("mag"), total("pol01_phase", 3).alias("phase"))
