@@ -19,7 +19,8 @@ from ..functions.grid import FramePlan, plan_frames, unix_seconds
 from ..operators import background, cube, frames, metrics, order_stats, pixel_pca, range_finder, rois, rolling, search, series, terrain
 from ..sources import ingest, spectra
 from ..sources.tables import shared_folder, written
-from .pipeline import Pipeline, db_step, stokes_i_step, stokes_iquv_step
+from .pipeline import Pipeline, db_step, stokes_i_step
+from .recipes import INSTRUMENTAL, STOKES_FRACTIONAL, stokes_pipeline
 
 T0, DT, NT, NF = 1_704_067_200.0, 3600.0, 720, 16
 MASK = (3, 6)
@@ -164,9 +165,10 @@ def freq_slice(spark, sf_dir):
     return selection.freq_slice(cells(spark, sf_dir), 4, 9, NF).select("t_idx", "f_idx", r(F.col("f_idx") * 125.0 / 2048).alias("mhz"), r("power", 4).alias("power"))
 
 
-@query("SELECT i AS f_idx, round(i * 125.0 / 2048, 6) AS mhz FROM range(2048) AS x(i)")
+@query("SELECT DISTINCT user_id AS f_idx, round(user_id * 125.0 / 2048, 6) AS mhz FROM events")
 def freq_axis(spark, sf_dir):
-    return spark.range(2048).select(F.col("id").alias("f_idx"), r(F.col("id") * 125.0 / 2048).alias("mhz"))
+    """The frequencies of the channels that occur; users stand in for channels."""
+    return spectra.table(spark, sf_dir, "events").select(F.col("user_id").alias("f_idx")).distinct().select("f_idx", r(F.col("f_idx") * 125.0 / 2048).alias("mhz"))
 
 
 @query("SELECT * FROM (SELECT unnest([{'i': 0, 'key': 'station', 'value': min(n_name)}, {'i': 1, 'key': 'nt', 'value': CAST(count(*) AS VARCHAR)}, {'i': 2, 'key': 'created_utc', 'value': '<missing>'}], recursive := true) FROM nation)")
@@ -178,9 +180,11 @@ def meta_kv(spark, sf_dir):
 # ---- frames and expressions ---------------------------------------------------------------------------------
 
 
-@query("SELECT k AS frame_idx, 2 * k AS t_start_idx, 2 * k + 6 AS t_end_idx, CAST((1704067200 + 7200 * k) * 1000000 AS BIGINT) AS start_us FROM range(358) AS x(k)")
+@query(f"WITH {_SAMPLES}, n AS (SELECT max(t_idx) + 1 AS nt FROM samples) SELECT k AS frame_idx, 2 * k AS t_start_idx, 2 * k + 6 AS t_end_idx, CAST((1704067200 + 7200 * k) * 1000000 AS BIGINT) AS start_us FROM range(100000) AS x(k), n WHERE 2 * k + 6 <= nt")
 def frame_plan(spark, sf_dir):
-    return frames.frames(spark, plan())
+    """The frames of as many samples as the table has."""
+    nt = samples(spark, sf_dir).agg(F.max("t_idx") + 1).first()[0]
+    return frames.frames(spark, plan_frames(nt, T0, DT, T0, T0 + nt * DT, WINDOW * DT, STEP * DT))
 
 
 @query(f"WITH {_FRAMED} SELECT frame_idx, count(*) AS n_cells, min(t_idx) AS first_t, max(t_idx) AS last_t FROM framed GROUP BY frame_idx")
@@ -208,7 +212,7 @@ _IQUV = "0.5 * (pol00 + pol11) AS i, 0.5 * (pol00 - pol11) AS q, pol01_mag * cos
 
 
 def _stokes(spark, sf_dir):
-    return Pipeline(("pol00", "pol11", "pol01_mag", "pol01_phase")).add(stokes_iquv_step()).apply(products(spark, sf_dir))
+    return stokes_pipeline().apply(products(spark, sf_dir))
 
 
 @query(f"WITH {_PRODUCTS}, s AS (SELECT l_orderkey, l_linenumber, {_IQUV} FROM products) SELECT l_orderkey, l_linenumber, round(i, 6) + 0.0 AS stokes_i, round(q, 6) + 0.0 AS stokes_q, round(u, 6) + 0.0 AS stokes_u, round(v, 6) + 0.0 AS stokes_v FROM s")
@@ -218,17 +222,17 @@ def stokes_iquv(spark, sf_dir):
 
 @query(f"WITH {_PRODUCTS}, s AS (SELECT l_orderkey, l_linenumber, {_IQUV} FROM products) SELECT l_orderkey, l_linenumber, round(10 * log10(greatest(i, 1e-12)), 6) AS i_db, round(q / i, 5) + 0.0 AS q_i, round(u / i, 5) + 0.0 AS u_i, round(v / i, 5) + 0.0 AS v_i FROM s")
 def stokes_fractional(spark, sf_dir):
-    i = F.col("stokes_i")
-    return _stokes(spark, sf_dir).select("l_orderkey", "l_linenumber", r(maths.safe_db(i)).alias("i_db"), *[r(maths.fraction_of(F.col(f"stokes_{c}"), i), 5).alias(f"{c}_i") for c in "quv"])
+    found = STOKES_FRACTIONAL.apply(products(spark, sf_dir), ["l_orderkey", "l_linenumber"], stokes_pipeline())
+    return found.select("l_orderkey", "l_linenumber", r("stokes_i_db").alias("i_db"), *[r(f"{c}_i", 5).alias(f"{c}_i") for c in "quv"])
 
 
 @query(f"WITH {_PRODUCTS} SELECT l_orderkey, l_linenumber, round(10 * log10(greatest(pol00, 1e-12)), 6) AS p00_db, round(10 * log10(greatest(pol11, 1e-12)), 6) AS p11_db, round(10 * log10(greatest(CASE WHEN pol01_mag > 1e-9 THEN pol01_mag ELSE 0 END, 1e-12)), 4) AS mag_db, round(CASE WHEN pol01_mag > 1e-9 THEN pol01_phase ELSE 0 END, 6) + 0.0 AS phase FROM products")
 def instrumental_quicklook(spark, sf_dir):
-    db = lambda c, n=6: r(maths.safe_db(F.col(c)), n)
     # A magnitude of about 0 is 0, and so is its phase.
     there = F.col("pol01_mag") > 1e-9
     rows = products(spark, sf_dir).withColumn("pol01_phase", F.when(there, F.col("pol01_phase")).otherwise(0.0)).withColumn("pol01_mag", F.when(there, F.col("pol01_mag")).otherwise(0.0))
-    return rows.select("l_orderkey", "l_linenumber", db("pol00").alias("p00_db"), db("pol11").alias("p11_db"), db("pol01_mag", 4).alias("mag_db"), r("pol01_phase").alias("phase"))
+    found = INSTRUMENTAL.apply(rows, ["l_orderkey", "l_linenumber"])
+    return found.select("l_orderkey", "l_linenumber", r("pol00_db").alias("p00_db"), r("pol11_db").alias("p11_db"), r("pol01_mag_db", 4).alias("mag_db"), r("pol01_phase").alias("phase"))
 
 
 # ---- metrics ------------------------------------------------------------------------------------------------
@@ -825,17 +829,16 @@ def derive_arrays(spark, sf_dir):
     return done.select("vec_id", total("pol01_mag").alias("mag"), total("pol01_phase").alias("phase"))
 
 
-@query("WITH x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) SELECT vec_id, CAST(floor(vec_id * 77.0 / 10 + 0.5) + k AS BIGINT) AS t_idx, round(v::DOUBLE, 5) AS v FROM x WHERE floor(vec_id * 77.0 / 10 + 0.5) + k < 3000")
+@query("WITH x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) SELECT vec_id, CAST(floor(vec_id * 77.0 / 10 + 0.5) + k AS BIGINT) AS t_idx, round(v::DOUBLE, 5) AS v FROM x")
 def block_regularize(spark, sf_dir):
-    """Blocks of 64 samples that begin every 77 seconds on a grid of 10 seconds, cut off at its end."""
+    """Blocks of 64 samples that begin every 77 seconds, on a grid of 10 seconds that holds them all."""
     rows = spectra.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") * 77.0).alias("unix_s"), F.col("embedding").alias("v"))
-    return spectra.place_blocks(rows, "unix_s", 0.0, 10.0, 3000, ["v"]).select("vec_id", "t_idx", F.round(F.col("v").cast("double"), 5).alias("v"))
+    return spectra.place_blocks(rows, "unix_s", 0.0, 10.0, 1 << 40, ["v"]).select("vec_id", "t_idx", F.round(F.col("v").cast("double"), 5).alias("v"))
 
 
-@query(f"WITH {_SAMPLES}, {_STATIONS}, one AS (SELECT * FROM station_cells WHERE f_idx = 7) SELECT s.station, g.t AS t_idx, round(power, 4) AS power FROM (SELECT DISTINCT station FROM one) AS s CROSS JOIN range(720) AS g(t) LEFT JOIN one ON one.station = s.station AND one.t_idx = g.t")
+@query(f"WITH {_SAMPLES}, {_STATIONS}, s AS (SELECT DISTINCT station, f_idx FROM station_cells) SELECT s.station, s.f_idx, g.t AS t_idx, round(power, 4) AS power FROM s CROSS JOIN range(720) AS g(t) LEFT JOIN station_cells AS c ON c.station = s.station AND c.f_idx = s.f_idx AND c.t_idx = g.t")
 def dense_grid(spark, sf_dir):
-    one = station_cells(spark, sf_dir).where("f_idx = 7").select("station", "t_idx", "power")
-    return spectra.dense(one, NT, ["station"]).select("station", "t_idx", r("power", 4).alias("power"))
+    return spectra.dense(station_cells(spark, sf_dir), NT, ["station", "f_idx"]).select("station", "f_idx", "t_idx", r("power", 4).alias("power"))
 
 
 @query("SELECT CAST(row_number() OVER () - 1 AS INT) AS i, key, value FROM (SELECT unnest([{'key': 'station', 'value': min(n_name)}, {'key': 'startutc', 'value': '20240101_000000'}, {'key': 'stoputc', 'value': '20240131_000000'}, {'key': 'created_utc', 'value': '20240201_000000'}, {'key': 'nt', 'value': '720'}, {'key': 'nchan', 'value': '16'}, {'key': 'dt_seconds', 'value': '3600.0'}, {'key': 'f0_mhz', 'value': '0.0'}, {'key': 'df_mhz', 'value': '0.25'}, {'key': 'source_root', 'value': '/raw'}], recursive := true) FROM nation)")
