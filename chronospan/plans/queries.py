@@ -853,18 +853,38 @@ _TREE = """v AS (SELECT vec_id // 50 AS run, (vec_id // 50) * 45 + vec_id % 50 A
 won AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY t_idx ORDER BY run DESC) = 1)"""
 
 
-@query(f"""WITH {_TREE}, m AS (SELECT t_idx, unnest(e)::DOUBLE AS a, unnest(list_reverse(e))::DOUBLE AS b FROM won)
-SELECT t_idx, round(sum(a), 4) + 0.0 AS p00, round(sum(b), 4) + 0.0 AS p11, round(sum(sqrt(a * a + b * b)), 4) AS mag, round(sum(atan2(b, a)), 3) + 0.0 AS phase FROM m GROUP BY t_idx""")
-def ingest_tree(spark, sf_dir):
-    """Raw files, made from embeddings by Spark, to a cube on disk; it is ingested twice and read back."""
+def _ingested(spark, sf_dir, times: int = 1) -> ingest.Ingested:
+    """A cube on disk from raw files that Spark makes of embeddings."""
     rows = spectra.table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 50).alias("k"), "embedding", F.reverse("embedding").alias("back"))
     values = {"pol00": F.col("embedding"), "pol11": F.col("back"), "pol01r": F.when(F.col("k") % 7 == 5, F.slice("embedding", 1, 60)).otherwise(F.col("embedding")), "pol01i": F.col("back")}
     parts = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.array_join(v.cast("array<string>"), ",").alias("line")) for c, v in values.items()])).alias("p")
     lines = rows.select("vec_id", (F.lit(int(T0)) + F.col("k") * 450).alias("run"), "k", parts).where("not (k % 7 = 3 and p.component = 'pol11')").select("run", "p.component", "vec_id", "p.line")
     root = shared_folder(spark, "raw")
     lines.repartition("run", "component").sortWithinPartitions("run", "component", "vec_id").select("run", "component", "line").write.partitionBy("run", "component").option("compression", "gzip").text(root)
-    for _ in range(2):
-        found = ingest.ingest(spark, root, f"{root}-cube", "S0", ingest.text_decoder, 10.0, 64, parents="", name="run=", files="component=*")
+    created = datetime(2024, 2, 1, tzinfo=timezone.utc)
+    for _ in range(times):
+        found = ingest.ingest(spark, root, f"{root}-cube", "S0", ingest.text_decoder, 10.0, 64, parents="", name="run=", files="component=*", df_mhz=0.0625, created=created)
+    return found
+
+
+@query(f"""WITH {_TREE}, m AS (SELECT t_idx, unnest(e)::DOUBLE AS a, unnest(list_reverse(e))::DOUBLE AS b FROM won)
+SELECT t_idx, round(sum(a), 4) + 0.0 AS p00, round(sum(b), 4) + 0.0 AS p11, round(sum(sqrt(a * a + b * b)), 4) AS mag, round(sum(atan2(b, a)), 3) + 0.0 AS phase FROM m GROUP BY t_idx""")
+def ingest_tree(spark, sf_dir):
+    """Raw files to a cube on disk; it is ingested twice and read back."""
+    found = _ingested(spark, sf_dir, 2)
     total = lambda c, n: r(F.aggregate(F.col(c).cast("array<double>"), F.lit(0.0), lambda s, v: s + v), n)
     cube_, _ = spectra.open_spectra(spark, found.cube, found.meta)
     return cube_.select("t_idx", total("pol00", 4).alias("p00"), total("pol11", 4).alias("p11"), total("pol01_mag", 4).alias("mag"), total("pol01_phase", 3).alias("phase"))
+
+
+@query("""WITH v AS (SELECT vec_id // 50 AS run, count(*) AS n FROM embeddings GROUP BY run), e AS (SELECT max(run * 45 + n) FILTER (run % 7 NOT IN (3, 5)) AS nt FROM v)
+SELECT CAST(i AS INT) AS i, key, value FROM e, LATERAL (VALUES (0, 'station', 'S0'), (1, 'startutc', '20240101_000000'), (2, 'stoputc', strftime(make_timestamp(1704067200000000 + nt * 10000000), '%Y%m%d_%H%M%S')), (3, 'nt', CAST(nt AS VARCHAR)), (4, 'nchan', '64'), (5, 'dt_seconds', '10.0'), (6, 'df_mhz', '0.0625')) AS x(i, key, value)""")
+def ingest_meta(spark, sf_dir):
+    """The description that the ingest leaves beside the cube: the grid that the accepted directories span."""
+    return spectra.meta_rows(spark.read.parquet(_ingested(spark, sf_dir).meta), ["station", "startutc", "stoputc", "nt", "nchan", "dt_seconds", "df_mhz"])
+
+
+@query("WITH v AS (SELECT DISTINCT vec_id // 50 AS run FROM embeddings) SELECT 1704067200 + run * 450 AS unix_s, CASE WHEN run % 7 = 3 THEN 'missing' ELSE 'shape' END AS reason FROM v WHERE run % 7 IN (3, 5)")
+def ingest_rejects(spark, sf_dir):
+    """Directories that the ingest leaves out, and why."""
+    return _ingested(spark, sf_dir).rejects.select("unix_s", "reason")
