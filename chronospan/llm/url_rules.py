@@ -18,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Hex digits of the digest that the join goes by.
 PREFIX_DIGITS = 8
+#: Up to so many rules go to every executor; more are joined by a shuffle.
+MANY_RULES = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -63,7 +65,7 @@ def match_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]], key: st
     expanded = base.select("url").distinct().select("url", *split).withColumn("_h", F.explode(F.array_compact(F.array(*hosts)))).withColumn("_p", F.explode(F.array_compact(F.array(*paths))))
     expressions = expanded.select("url", _digest(F.concat_ws("\x00", "_h", "_p")).alias("asked"))
     expressions = expressions.withColumn("short", F.substring("asked", 1, PREFIX_DIGITS))
-    fits = expressions.join(F.broadcast(listed), "short").where(F.col("asked") == F.col("full"))
+    fits = expressions.join(F.broadcast(listed) if len(rules) <= MANY_RULES else listed, "short").where(F.col("asked") == F.col("full"))
     # One row per URL and rule at most; the best is found by a partial aggregate on each side of the shuffle.
     best = fits.groupBy("url").agg(F.max(F.struct(F.char_length("rule").alias("n"), (F.col("action") == "block").alias("b"), F.col("rule").alias("rule"), F.col("action").alias("action"))).alias("best"))
     return base.join(best, "url", "left").select(F.col("key").alias(key), *split, F.col("best.rule").alias("rule"), F.coalesce(F.col("best.action"), F.lit(otherwise)).alias("verdict"))

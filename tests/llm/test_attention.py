@@ -137,3 +137,9 @@ def test_word_pieces():
     for words in (["a", "hello", "1234", "it's", "漢字", "--"], ["a ", " b", " ", "c"], []):
         flat, size = sub.pieces([w.encode() for w in words])
         assert flat.tolist() == [i for w in words for i in sub.encoding.encode_ordinary(" " + w)] and len(size) == len(words) and size.sum() == len(flat)
+
+
+def test_parts_follow_from_the_texts():
+    """Not from the cluster: the same texts are learned in the same number of parts on any number of cores."""
+    mb = 1 << 20
+    assert [attention_lm.parts_of(n * mb) for n in (0, 1, 64, 200, 4000, 64 * 8 * 6, 64 * 8 * 60)] == [1, 1, 4, 6, 7, 6, 60]
