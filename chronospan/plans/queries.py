@@ -666,6 +666,16 @@ def station_curves(spark, sf_dir):
 _FLUX = "SELECT epoch_us(ts) AS time_us, event_id, round(value * 1e-8, 12) AS xrsa_flux, round(value * 1e-7, 12) AS xrsb_flux FROM events"
 
 
+@query("""WITH f AS (SELECT DISTINCT '/flux/' || strftime(ts, '%Y') || '/xrs_d' || strftime(ts, '%Y%m%d') || '_v' || (event_id % 3) || '.nc' AS path, strftime(ts, '%Y%m%d') AS day FROM events)
+SELECT path FROM f WHERE day BETWEEN '20240103' AND '20240109'""")
+def flux_files(spark, sf_dir):
+    """Daily files, named after the days of events, in up to three versions: those of a range that ends within a day."""
+    ts = F.col("ts").cast("timestamp")
+    path = F.concat(F.lit("/flux/"), F.date_format(ts, "yyyy"), F.lit("/xrs_d"), F.date_format(ts, "yyyyMMdd"), F.lit("_v"), (F.col("event_id") % 3).cast("string"), F.lit(".nc"))
+    files = spectra.table(spark, sf_dir, "events").select(path.alias("path")).distinct()
+    return series.daily_files(files, datetime(2024, 1, 3, 6), datetime(2024, 1, 9, 18))
+
+
 @query(f"WITH x AS ({_FLUX}) SELECT * FROM x WHERE time_us >= 1704240000000000 AND time_us < 1704672000000000")
 def flux_load(spark, sf_dir):
     """Two tables of fluxes (users with even and odd ids) as one series of 2024-01-03 to 2024-01-07."""
