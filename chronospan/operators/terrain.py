@@ -30,14 +30,14 @@ def horizon_profile(points: DataFrame, dem: DataFrame, by: list[str], n_directio
     missing if one of them is. Azimuth k * 360 / n_directions turns clockwise from North (falling rows), or, without ``compass``,
     counter-clockwise from the first axis (rising columns). A ray without a sample has no horizon (NULL). Points outside the grid raise.
 
-    A point meets each tile that one of its rays crosses once, and gets one maximum per ray and tile back.
+    Rays depend on the cell alone, so they are cast once for each cell that has points, however many stand there. A cell meets
+    each tile that one of its rays crosses once, and gets one maximum per ray and tile back.
     """
     # A step more than the last below max_distance, as far as max_distance + step (exclusive).
     count = -int(-(max_distance + step) // step) - 1
-    start = points.join(dem.select(F.col("row").alias("row0"), F.col("col").alias("col0"), F.col("elevation").cast("double").alias("z0")), ["row0", "col0"], "left")
+    start = points.select("row0", "col0").distinct().join(dem.select(F.col("row").alias("row0"), F.col("col").alias("col0"), F.col("elevation").cast("double").alias("z0")), ["row0", "col0"], "left")
     start = start.withColumn("z0", F.when(F.col("z0").isNull(), F.raise_error(F.lit("a point lies outside the elevation grid")).cast("double")).otherwise(F.col("z0")))
-    start = start.select(*by, F.col("row0").cast("double").alias("row0"), F.col("col0").cast("double").alias("col0"), "z0")
-    types, n = dict(start.dtypes), len(by)
+    start = start.select(F.col("row0").cast("double").alias("row0"), F.col("col0").cast("double").alias("col0"), "z0")
 
     def rays(row0: float, col0: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows and columns of all samples of a point: direction by distance. Nine digits: a ray along an axis stays on it."""
@@ -49,7 +49,7 @@ def horizon_profile(points: DataFrame, dem: DataFrame, by: list[str], n_directio
     def cross(batches):
         for b in batches:
             keep, rows, cols, directions = [], [], [], []
-            for i, (r0, c0) in enumerate(zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)):
+            for i, (r0, c0) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 y, x = rays(r0, c0)
                 crossed = np.unique(np.stack([np.floor(y / tile).ravel(), np.floor(x / tile).ravel(), np.repeat(np.arange(n_directions), count)]), axis=1).astype(np.int64)
                 cuts = np.flatnonzero((np.diff(crossed[:2]) != 0).any(axis=0)) + 1
@@ -61,7 +61,7 @@ def horizon_profile(points: DataFrame, dem: DataFrame, by: list[str], n_directio
     def highest(batches):
         for b in batches:
             keep, which, best = [], [], []
-            columns = [c.to_pylist() for c in b.columns[n:]]
+            columns = [c.to_pylist() for c in b.columns]
             for i, (r0, c0, z0, tile_row, tile_col, directions, at, z) in enumerate(zip(*columns, strict=True)):
                 cells = np.full((tile + 1) * (tile + 1), np.nan)
                 if at is not None:
@@ -82,13 +82,15 @@ def horizon_profile(points: DataFrame, dem: DataFrame, by: list[str], n_directio
                 keep += [i] * len(directions)
                 which += directions
                 best.append(np.where(np.isfinite(top), top, np.nan))
-            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(keep, pa.int32())) for c in b.columns[:n]], pa.array(which, pa.int64()), pa.array(np.concatenate([*best, np.empty(0)]), from_pandas=True)], [*by, "_a", "h"])
-
-    keys = "".join(f"`{k}` {types[k]}, " for k in by)
-    crossed = start.mapInArrow(cross, keys + "row0 double, col0 double, z0 double, tile_row long, tile_col long, directions array<long>")
-    met = crossed.join(tiles(dem, tile), ["tile_row", "tile_col"], "left").select(*by, "row0", "col0", "z0", "tile_row", "tile_col", "directions", "at", "z")
-    found = met.mapInArrow(highest, keys + "_a long, h double")
-    return found.groupBy(*by, (F.lit(360.0 / n_directions) * F.col("_a")).alias("azimuth")).agg(F.max("h").alias("horizon"))
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(keep, pa.int32())) for c in b.columns[:2]], pa.array(which, pa.int64()), pa.array(np.concatenate([*best, np.empty(0)]), from_pandas=True)], ["row0", "col0", "_a", "h"])
+
+    crossed = start.mapInArrow(cross, "row0 double, col0 double, z0 double, tile_row long, tile_col long, directions array<long>")
+    met = crossed.join(tiles(dem, tile), ["tile_row", "tile_col"], "left").select("row0", "col0", "z0", "tile_row", "tile_col", "directions", "at", "z")
+    found = met.mapInArrow(highest, "row0 double, col0 double, _a long, h double")
+    profile = found.groupBy("row0", "col0", "_a").agg(F.max("h").alias("h")).groupBy("row0", "col0").agg(F.collect_list(F.struct("_a", "h")).alias("_rays"))
+    here = points.select(*by, F.col("row0").cast("double").alias("row0"), F.col("col0").cast("double").alias("col0"))
+    rows = here.join(profile, ["row0", "col0"]).select(*by, F.explode("_rays").alias("_ray"))
+    return rows.groupBy(*by, (F.lit(360.0 / n_directions) * F.col("_ray._a")).alias("azimuth")).agg(F.max("_ray.h").alias("horizon"))
 
 
 def illuminated_fraction(path: DataFrame, profile: DataFrame, by: list[str], day: str, order: str, altitude: str, per_day: int = 360) -> DataFrame:

@@ -6,6 +6,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from chronospan.operators import ranges, rois, series, terrain
 
 MINUTE = 60_000_000
@@ -130,3 +132,14 @@ def test_numbers_and_null_groups(spark):
     assert scaled == 1.0
     with pytest.raises(ValueError):
         ranges.dealt(df, ["g"], "t", 0)
+
+
+def test_points_of_one_cell_share_their_rays(spark):
+    dem = spark.range(400).select(F.floor(F.col("id") / 20).alias("row"), (F.col("id") % 20).alias("col"), (F.col("id") * 7 % 13).cast("double").alias("elevation"))
+    points = spark.range(3000).select(F.col("id").alias("p"), (F.col("id") % 3).alias("row0"), (F.col("id") % 2 * 5).alias("col0"))
+    plan = terrain.horizon_profile(points, dem, ["p"], 8, 6.0, 1.0, tile=16)
+    got = {(r["p"], r["azimuth"]): r["horizon"] for r in plan.collect()}
+    assert len(got) == 3000 * 8 and all(got[p, a] == got[p % 6, a] for p, a in got)
+    below = plan._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    cast = next(i for i, x in enumerate(below) if "MapInArrow cross" in x)
+    assert any("Aggregate [row0" in x for x in below[cast:])
