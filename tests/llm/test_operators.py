@@ -187,3 +187,18 @@ def test_toxicity():
         return 1 / (1 + np.exp(-x @ np.array(model.logistic)))[0]
 
     assert np.mean([score(text(0.06)) >= 0.7 for _ in range(40)]) > 0.9 and np.mean([score(text(0)) >= 0.7 for _ in range(40)]) < 0.1
+
+
+def test_kneser_ney_counts_all_trusted(spark):
+    """Three quarters of the trusted texts are counted, however many there are (3,000 at most before), and the others give the threshold."""
+    from unittest import mock
+
+    from pyspark.sql import functions as F
+
+    n, train, counted = 6000, kneser_ney.train, []
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("word"), F.col("id") % 7, F.lit(" of it")).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    with mock.patch.object(kneser_ney, "train", lambda trusted: (counted.append(trusted.count()), train(trusted))[1]):
+        found = kneser_ney.classify(docs, labels, details=True)
+        assert found.count() == n and found.where("kept").count() == n
+    assert abs(counted[0] - 0.75 * n) < 0.03 * n
