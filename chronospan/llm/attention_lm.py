@@ -1,9 +1,9 @@
 """LM scoring: a causal self-attention model, trained in numpy on subword ids, and a smoothed unigram base.
 
 1. Words and subwords of all training texts are counted by grouping.
-2. A first model is fitted on a bounded number of windows of training texts (attention_model.fit).
-3. ROUNDS rounds follow, each over its own 1 / SHARE of all training texts, so what they learn from grows with the
-   input: every task trains a copy of the model on its texts, and Spark adds up the changes of the parameters (weighted by
+2. The rounds start from a model that is fitted on a bounded number of windows of training texts (attention_model.fit).
+3. ROUNDS rounds follow, each over its own 1 / ROUNDS of all training texts, so every training text is learned from once
+   (a whole epoch): every task trains a copy of the model on its texts, and Spark adds up the changes of the parameters (weighted by
    tokens) and the expected counts of the component table. What travels is at most a row per vocabulary entry and task.
 4. Texts are scored in overlapping windows, each token once, with the tokens before it in its window as context.
 
@@ -29,8 +29,10 @@ from .text import Words, blocks, look_up, split_words, written
 FREQUENT = 1_000_000
 #: Windows of the first fit at most; about so many bytes of text make a window.
 FIT_WINDOWS, WINDOW_BYTES = 60_000, 80
-#: Rounds over all training texts, and the share of them that each round learns from (one in SHARE).
-ROUNDS, SHARE = 2, 64
+#: Rounds, which share all training texts between them.
+ROUNDS = 2
+#: parts_of() is stated for rounds that learn from one text in SHARE.
+SHARE = 64
 #: A part of a round has at most four times so many bytes of text. Parts of a round, unless it has more text or less than an eighth of that a part.
 ROUND_BYTES, PARTS = 2 << 20, 6
 ROUND_RATE, BATCH = 0.003, 64
@@ -172,7 +174,7 @@ def _rows(k: int, at: np.ndarray, values: np.ndarray, weight: np.ndarray) -> pa.
 
 
 def parts_of(text_bytes: int) -> int:
-    """Parts of a round, each learned by a copy of the model. It follows from the texts alone, so scores don't depend on the cluster:
+    """Parts of a round over text_bytes / SHARE, each learned by a copy of the model. It follows from the texts alone, so scores don't depend on the cluster:
     PARTS of them, fewer for little text, more with much, of about equal size."""
     return max(1, min(PARTS, text_bytes // SHARE // (ROUND_BYTES // 8)), text_bytes // SHARE // (4 * ROUND_BYTES))
 
@@ -183,8 +185,8 @@ def train(learn: DataFrame, n_sub: np.ndarray, vocab, pattern: str, most: int =
     text_bytes = int(learn.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"])
     _first_model(learn, model, vocab, pattern, text_bytes, most)
     for k in range(rounds):
-        rows = learn.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(SHARE)) == k)
-        _round(rows.repartition(parts_of(text_bytes)), model, vocab, pattern)
+        rows = learn.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(rounds)) == k)
+        _round(rows.repartition(parts_of(text_bytes * SHARE // rounds)), model, vocab, pattern)
     return model
 
 

@@ -143,3 +143,14 @@ def test_parts_follow_from_the_texts():
     """Not from the cluster: the same texts are learned in the same number of parts on any number of cores."""
     mb = 1 << 20
     assert [attention_lm.parts_of(n * mb) for n in (0, 1, 64, 200, 4000, 64 * 8 * 6, 64 * 8 * 60)] == [1, 1, 4, 6, 7, 6, 60]
+
+
+def test_rounds_learn_from_all_texts(spark):
+    """Each training text is in one round (one in 32 was in any before)."""
+    from unittest import mock
+
+    docs, seen = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")), []
+    n_sub = np.ones(N_IDS)
+    with mock.patch.object(attention_lm, "_first_model"), mock.patch.object(attention_lm, "_round", lambda rows, *_: seen.append([r["doc_id"] for r in rows.collect()])):
+        attention_lm.train(docs, n_sub, None, "")
+    assert len(seen) == attention_lm.ROUNDS and sorted(sum(seen, [])) == list(range(300))
