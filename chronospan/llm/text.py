@@ -9,6 +9,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cache, cached_property
 
@@ -44,10 +45,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Within it, what a query has shuffled is deleted when the query ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def written(df: DataFrame, name: str, path: str | None = None, compression: str = "snappy") -> DataFrame:
     """The rows of df, written once to the shared folder (or to path) and read back: lineage ends here and lost executors cost nothing."""
     path = path or shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -62,6 +62,33 @@ def test_kneser_ney(spark):
         assert k == len(w) - 3 and math.isclose(p, sum(math.log10(prob(*x)) for x in zip(w, w[1:], w[2:])), rel_tol=1e-5)
 
 
+
+@pytest.mark.parametrize("frequent", [2, 1000])
+def test_kneser_ney_in_parts(spark, monkeypatch, tmp_path, frequent):
+    """Many shards, classes and passes, and words that are not broadcast, give the same values; what was in between is gone afterwards."""
+    from pyspark.sql import functions as F
+
+    for name, value in (("SHARD_BYTES", 100), ("PASS_BYTES", 200), ("PACK_BYTES", 300), ("FREQUENT", frequent)):
+        monkeypatch.setattr(kneser_ney, name, value)
+    monkeypatch.setattr(kneser_ney, "shared_folder", lambda _, name: f"{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("the a cat dog sat ran on mat big red".split(), weights=[9, 7, 5, 4, 3, 3, 2, 2, 1, 1], k=rng.randint(0, 12))) for _ in range(60)]
+    prob, _ = slow_kneser_ney(texts)
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert model.shards > 8 and model.others == (frequent == 2)
+    asked = [*texts, "", "zz the cat zz", "the never seen cat", "the " * 300]
+    for t, k, p in zip(asked, *model.score(pa.array(asked))):
+        w = ["<s>", "<s>", *t.split(), "</s>"]
+        assert k == len(w) - 3 and math.isclose(p, sum(math.log10(prob(*x)) for x in zip(w, w[1:], w[2:])), rel_tol=1e-5)
+    left = lambda: {f.name.split("-")[1] for f in tmp_path.iterdir() if any(f.rglob("part-*.parquet"))}
+    assert left() == {"model", "scores"}
+    model.discard()
+    assert left() == {"scores"} and not spark.catalog.tableExists(model.table)
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("the cat "), F.col("id") % 7).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert kneser_ney.classify(docs, labels).where("kept").count() == 60 and left() == {"scores"}
+
+
 def test_base_counts():
     rng = random.Random(1)
     texts = [None, "", "\n\n", "a\na\n a \n", "x" * 50]
