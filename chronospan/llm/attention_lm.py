@@ -114,29 +114,28 @@ def _round(rows: DataFrame, model: Model, vocab, pattern: str) -> None:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub, base = Subwords(vocab.value, pattern), sent.value
         own = base.copy()
-        trainer, held = Trainer(own, ROUND_RATE), []
-        touched = {n: np.zeros(len(base.params[n])) for n in ("embed", "before")}
+        trainer, held = Trainer(own, ROUND_RATE), {}
+        times = np.zeros(len(base.corpus))
+        touched = {"embed": times, "before": times}
         tokens = 0
 
-        def train() -> None:
-            x, y, on = (np.concatenate(c) for c in zip(*held, strict=True))
-            held.clear()
-            trainer.step(x, y, on, 0.0)
-            touched["embed"] += np.bincount(x.ravel(), minlength=len(touched["embed"]))
-            touched["before"] += np.bincount(x.ravel(), minlength=len(touched["before"]))
+        def train(low: int) -> None:
+            x, y, on = (np.concatenate(c) for c in zip(*held.pop(low), strict=True))
+            trainer.step(x, y, on, 0.0, low)
+            times[:] += np.bincount(x.ravel(), minlength=len(times))
 
         for batch in batches:
             for b in blocks(batch, 0):
                 w = split_words(b.column(0), lower=True)
                 ids, length = sub.of(w)
                 for low, x, y, on, _ in windows(base.index[ids], length, base.end, BATCH):
-                    on = np.pad(on, ((0, 0), (low, 0)))
-                    held.append((x, y, on))
+                    # Windows with the same first learned place share batches, so that context costs no more than in scoring.
+                    held.setdefault(low, []).append((x, y, on))
                     tokens += int(on.sum())
-                    if sum(len(h[0]) for h in held) >= BATCH:
-                        train()
-        if held:
-            train()
+                    if sum(len(h[0]) for h in held[low]) >= BATCH:
+                        train(low)
+        for low in sorted(held):
+            train(low)
         if not tokens:
             return
         for k, n in enumerate(names):

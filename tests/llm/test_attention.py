@@ -87,6 +87,36 @@ def test_each_token_once(lengths):
     assert seen == texts
 
 
+def test_gradients_of_later_places(model):
+    """Places before the first learned one are context alone: the same gradients as with all places and those masked, for less work."""
+    rng = np.random.default_rng(5)
+    ids, on = rng.integers(0, len(model.corpus), (6, am.WINDOW + 1)), rng.random((6, am.WINDOW)) < 0.8
+    on[:, : am.OVERLAP] = False
+    whole, later = model.gradients(ids[:, :-1], ids[:, 1:], on), model.gradients(ids[:, :-1], ids[:, 1:], on[:, am.OVERLAP :], am.OVERLAP)
+    assert abs(whole[0] - later[0]) < 1e-5 and whole[1].keys() == later[1].keys()
+    assert all(np.allclose(whole[1][n], later[1][n], atol=1e-5) for n in whole[1])
+    for a, b in zip(whole[2:], later[2:], strict=True):
+        full = [np.zeros((len(model.corpus), x.shape[1])) for x in (a[1], b[1])]
+        full[0][a[0]], full[1][b[0]] = a[1], b[1]
+        assert np.allclose(*full, atol=1e-4)
+
+
+def test_gradients_are_slopes(model):
+    rng = np.random.default_rng(6)
+    ids, on = rng.integers(0, len(model.corpus), (4, am.WINDOW + 1)), np.ones((4, am.WINDOW - am.OVERLAP), bool)
+    _, g, *_ = model.gradients(ids[:, :-1], ids[:, 1:], on, am.OVERLAP)
+    at, p = g["out"] * (0.05 / np.abs(g["out"]).max()), model.params["out"]
+    try:
+        model.params["out"] = p + at
+        up = -model.log_probs(ids[:, :-1], ids[:, 1:], am.OVERLAP).mean(dtype=np.float64)
+        model.params["out"] = p - at
+        down = -model.log_probs(ids[:, :-1], ids[:, 1:], am.OVERLAP).mean(dtype=np.float64)
+    finally:
+        model.params["out"] = p
+    want = 2 * float((g["out"] * at).sum())
+    assert abs(up - down - want) < 0.1 * want
+
+
 def test_fit_learns():
     rng = np.random.default_rng(4)
     row = np.cumsum(rng.integers(1, 3, (400, am.WINDOW + 1)), axis=1) % 20  # the next id is one or two more
