@@ -33,7 +33,7 @@ START, END = np.uint64(1), np.uint64(2)
 SHARD_BYTES, PACK_BYTES = 16 << 20, 4 << 20
 #: Classes of shards at most (counting takes COUNTED of them at once, as it splits the trusted texts anew each time); passes over texts at most,
 #: and one for so many bytes of text, if that gives fewer.
-CLASSES, COUNTED, PASSES, PASS_BYTES = 8, 2, 6, 16 << 20
+CLASSES, COUNTED, PASSES, PASS_BYTES = 8, 2, 9, 16 << 20
 #: Words whose values are broadcast, at most.
 FREQUENT = 1_000_000
 #: No context's weight is less, so that logarithms stay finite.
@@ -58,14 +58,26 @@ def _column(table: pa.Table, name: str, dtype, ascending: bool = False) -> np.nd
     return np.concatenate([np.empty(0, dtype), *(_unpack(x.as_buffer(), dtype, ascending) for x in table.column(name) if x.is_valid)])
 
 
+def _coded(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Bytes of the distinct numbers, ascending, and of each number's place among them."""
+    known, at = np.unique(x, return_inverse=True)
+    return _pack(known, True), _pack(at.astype(np.uint32))
+
+
+def _decoded(table: pa.Table, known: str, at: str, dtype) -> np.ndarray:
+    """The arrays of all rows in a row, of columns made by _coded()."""
+    rows = zip(table.column(known), table.column(at), strict=True)
+    return np.concatenate([np.empty(0, dtype), *(_unpack(k.as_buffer(), dtype, True)[_unpack(i.as_buffer(), np.uint32)] for k, i in rows if k.is_valid)])
+
+
 def _firsts(x: np.ndarray) -> np.ndarray:
     """Where runs of equal numbers begin."""
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
 
 
-def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and the sums of their values."""
-    order = np.argsort(keys)
+def _summed(keys: np.ndarray, values: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their values. kind "stable" only merges keys that come as a few ascending runs."""
+    order = np.argsort(keys, kind=kind)
     keys, first = keys[order], _firsts(keys[order])
     return keys[first], np.add.reduceat(values[order], first) if len(first) else values[:0]
 
@@ -174,16 +186,16 @@ def _shares(shards: int, classes: int, d1: np.ndarray, d2: np.ndarray, total: fl
         pair = chain(m, c)
         by_key = np.argsort(pair)
         own = int(pair[0] % np.uint64(shards)) if len(pair) else 0
-        rows = [(own, own % classes, _pack(pair[by_key], True), _pack(np.log10(p2 / lower)[by_key].astype(np.float32)), None, None, None, None)]
+        rows = [(own, own % classes, _pack(pair[by_key], True), _pack(np.log10(p2 / lower)[by_key].astype(np.float32)), None, None, None, None, None)]
         context = chain(a, np.repeat(m, size))
         last, share = np.repeat(c, size) & NEXT, np.repeat(p2, size).astype(np.float32)
         order = np.argsort(context)
         by_home, some, cuts = _by_home((context[order] % np.uint64(shards)).astype(np.int64), shards)
         order = order[by_home]
         context, last, n, share = context[order], last[order], n[order], share[order]
-        rows += [(int(h), int(h) % classes, None, None, _pack(context[lo:hi], True), _pack(last[lo:hi]), _pack(n[lo:hi]), _pack(share[lo:hi])) for h, (lo, hi) in zip(some, cuts, strict=True)]
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "class", "pair", "v", "context", "last", "n", "share"])
+        rows += [(int(h), int(h) % classes, None, None, _pack(context[lo:hi], True), *_coded(last[lo:hi]), _pack(n[lo:hi]), _pack(share[lo:hi])) for h, (lo, hi) in zip(some, cuts, strict=True)]
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "class", "pair", "v", "context", "words", "last", "n", "share"])
 
     return run
 
@@ -193,7 +205,7 @@ def _values(d3: np.ndarray):
 
     def run(parts: pa.Table) -> pa.Table:
         pair, v = _column(parts, "pair", np.uint64, True), _column(parts, "v", np.float32)
-        context, last = _column(parts, "context", np.uint64, True), _column(parts, "last", np.uint64)
+        context, last = _column(parts, "context", np.uint64, True), _decoded(parts, "words", "last", np.uint64)
         n, share = _column(parts, "n", np.uint32), _column(parts, "share", np.float32)
         order = np.argsort(context)
         context, last, n, share = context[order], last[order], n[order].astype(np.float64), share[order]
@@ -266,7 +278,7 @@ def train(trusted: DataFrame) -> Model:
         floor = float((taken or 1.0) / total / (v + 1))
 
         shares_path = shared_folder(spark, "kn-shares")
-        share_schema = "shard long, class long, pair binary, v binary, context binary, last binary, n binary, share binary"
+        share_schema = "shard long, class long, pair binary, v binary, context binary, words binary, last binary, n binary, share binary"
         for k in range(classes):
             pairs = spark.read.schema(pair_schema).parquet(pairs_path).where(F.col("class") == k)
             asked = words.select(F.explode("shards").alias("shard"), "word", "n1", "t", "e1", "e2", "e3").where(F.col("shard") % classes == k)
@@ -360,7 +372,7 @@ def _met(asked: pa.Table, known: pa.Table) -> pa.Table:
     """One shard: what its values add to the texts of each block (docs, sums)."""
     k, v = _column(known, "keys", np.uint64, True), _column(known, "values", np.float32)
     if known.num_rows > 1:
-        k, v = _summed(k, v)
+        k, v = _summed(k, v, "stable")
     v = np.append(v, 0).astype(np.float64)
     keys = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in asked.column("keys"))])
     follow, docs = _column(asked, "next", np.uint64), [_unpack(x.as_buffer(), np.uint32, True) for x in asked.column("docs")]

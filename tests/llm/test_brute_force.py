@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from chronospan.llm import kneser_ney, license_scan, line_crf, mixing, scaled_sketch, url_rules, vp_simhash, zdict_toxicity
@@ -322,3 +323,30 @@ def test_stems_of_inflected_words():
     model = zdict_toxicity.fit([text(0.04) for _ in range(100)], [text(0) for _ in range(200)], 0.33)
     score = lambda bad: zdict_toxicity.probabilities(model, pa.array([text(bad) for _ in range(60)]))
     assert np.mean(score(0.04) >= 0.7) > 0.9 and np.mean(score(0) >= 0.7) < 0.05
+
+
+def test_kneser_ney_stored_trigrams():
+    """What a shard of pairs sends on for each trigram is small, words that recur are stored once, and all of it comes back."""
+    rng = np.random.default_rng(8)
+    n, shards = 60_000, 4
+    vocab = rng.integers(10, 1 << 63, 3000, dtype=np.uint64)
+    m, c, a = (vocab[np.minimum(rng.zipf(1.3, n) - 1, 2999)] for _ in range(3))
+    of = kneser_ney.chain(m, c) % np.uint64(shards) == 1
+    rows = np.unique(np.stack([m[of], c[of], a[of]], axis=1), axis=0)
+    m, c, a = rows.T
+    first = kneser_ney._firsts(kneser_ney.chain(m, c))
+    size = np.diff(np.append(first, len(m))).astype(np.uint32)
+    pack = kneser_ney._pack
+    columns = [pack(m[first], True), pack(c[first]), pack(size), pack(size), pack(a), pack(np.ones(len(m), np.uint32))]
+    pairs = pa.table([[1], *([x] for x in columns)], ["shard", "m", "c", "n2", "size", "a", "n"])
+    words = np.unique(np.concatenate([m, c]))
+    counts = np.full(len(words), 5)
+    asked = pa.table([words.view(np.int64), *[counts] * 5], ["word", "n1", "t", "e1", "e2", "e3"])
+    d = np.array([0.0, 0.5, 1.0, 1.5])
+    found = kneser_ney._shares(shards, 1, d, d, 5.0 * len(words), 1e-6)(pairs, asked)
+    sent = found.filter(pc.is_valid(found.column("context")))
+    context, last = kneser_ney._column(sent, "context", np.uint64, True), kneser_ney._decoded(sent, "words", "last", np.uint64)
+    want = zip(kneser_ney.chain(a, m).tolist(), (c & kneser_ney.NEXT).tolist(), strict=True)
+    assert sorted(zip(context.tolist(), last.tolist(), strict=True)) == sorted(want)
+    held = sum(len(pa.compress(x.as_py(), "zstd", asbytes=True)) for name in ("words", "last") for x in sent.column(name))
+    assert held < 4 * len(m), held / len(m)  # 6 bytes each as bare hashes
