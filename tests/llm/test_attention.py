@@ -117,6 +117,32 @@ def test_gradients_are_slopes(model):
     assert abs(up - down - want) < 0.1 * want
 
 
+def test_step_by_step(model):
+    """A step over one array of all dense parameters is that of each by itself; and sums by row take no sort."""
+    rng = np.random.default_rng(7)
+    rows, values = rng.integers(0, 50, 300) * 2, rng.normal(size=(300, 3)).astype(np.float32)
+    own, sums = am._by_row(rows, values, 99)
+    want = np.zeros((99, 3))
+    np.add.at(want, rows, values)
+    assert len(set(own.tolist())) == len(own) == len(set(rows.tolist())) and np.allclose(sums, want[own], atol=1e-5)
+    assert am._by_row(rows[:0], values[:0], 99)[1].shape == (0, 3)
+    ids, on = rng.integers(0, len(model.corpus), (4, am.WINDOW + 1)), np.ones((4, am.WINDOW), bool)
+    plain, trainer = model.copy(), am.Trainer(model.copy(), 0.01)
+    m, v = ({n: np.zeros_like(x) for n, x in plain.params.items()} for _ in range(2))
+    for t in range(1, 4):
+        g, rate = plain.gradients(ids[:, :-1], ids[:, 1:], on)[1], 0.01 * t / 20
+        trainer.step(ids[:, :-1], ids[:, 1:], on, 0.0)
+        for n, x in g.items():
+            x = x.reshape(m[n].shape)
+            m[n], v[n] = 0.9 * m[n] + 0.1 * x, 0.98 * v[n] + 0.02 * x**2
+            plain.params[n] -= rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.98**t)) + 1e-8)
+        for n in ("embed", "before"):
+            plain.params[n][:] = trainer.model.params[n]
+        assert all(np.allclose(plain.params[n], trainer.model.params[n], atol=1e-4) for n in plain.params)
+        assert trainer.model.largest < 40  # a bound that holds, so no logit is clipped
+    assert np.shares_memory(trainer.model.params["out"], trainer.flat)
+
+
 def test_fit_learns():
     rng = np.random.default_rng(4)
     row = np.cumsum(rng.integers(1, 3, (400, am.WINDOW + 1)), axis=1) % 20  # the next id is one or two more
